@@ -57,7 +57,7 @@ SCORE_PATTERN = (
     r"(?iUd)Impact:?\**\s*:?\s*(High|Med(?:ium)?|Low).*?Confidence:?\**\s*:?\s*(High|Med(?:ium)?|Low)"
     r".*?Speed:?\**\s*:?\s*(High|Med(?:ium)?|Low)"
 )
-ROOT_CAUSE_PATTERN = r"(?U)Caused by \w+\((.*)\)\)?$"
+ROOT_CAUSE_PATTERN = r"(?dU)Caused by \w+\((.*)\)\)?$"
 VALID_HOST_PATTERN = r"^[a-z0-9.-]+\.[a-z]{2,}$"
 
 # --- layers -------------------------------------------------------------------------------------
