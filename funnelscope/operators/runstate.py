@@ -116,7 +116,8 @@ def edit_sessions(edits: DataFrame, gap_ms: int = fv.NOTE_SAVE_DELAY_MS, width:
     rows = last_before(rows, keys, "_us", ["event_id"], F.col("_us"), "_prev", False, width)
     starts = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > gap_ms * 1000), F.col("_us"))
     rows = last_before(rows, keys, "_us", ["event_id"], starts, "_start", True, width)
-    return rows.groupBy(*keys, F.timestamp_micros("_start").alias("session_start")).agg(
+    start = F.timestamp_micros("_start").cast(edits.schema["saved_at"].dataType)
+    return rows.groupBy(*keys, start.alias("session_start")).agg(
         F.max("saved_at").alias("last_edit"), F.count(F.lit(1)).alias("edits"),
         F.max_by("text", F.struct("_us", "event_id")).alias("text"))
 

@@ -13,7 +13,8 @@ DEFAULT_BUCKET_US = 60_000_000
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts)
+    """Epoch microseconds of a timestamp with or without zone."""
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def _with_bucket(df: DataFrame, us: str, width: int) -> DataFrame:

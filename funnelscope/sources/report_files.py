@@ -7,24 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from funnelscope.functions.urls import report_filename
 
 
-def report_files_read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every ``*.md`` file below ``folder`` as one row: ``path, markdown``."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.md").text(folder))
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("markdown"))
-
-
 def report_files_write(reports: DataFrame, folder: str) -> None:
-    """Reports (``company, date, markdown``) into a table partitioned by date.
+    """Reports (``audit_id, company, date, markdown``) as one text file each, below
+    ``date=<date>/file_name=<company>-growth-audit-<date>.md``.
 
-    Each row carries its file name. Only dates present in ``reports`` are replaced, and of two
-    reports with the same name the later ``audit_id`` is kept, as a rewritten file would be.
+    Only addresses present in ``reports`` are replaced. Of two reports with the same address the one
+    with the later ``audit_id`` is kept, as a rewritten file would be. Each file ends in one newline.
     """
     latest = reports.groupBy("company", "date").agg(F.max_by("markdown", "audit_id").alias("markdown"))
-    named = latest.withColumn("file_name", report_filename(F.col("company"), F.col("date")))
-    (named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("date").parquet(folder))
+    named = latest.select("date", report_filename(F.col("company"), F.col("date")).alias("file_name"),
+                          F.regexp_replace("markdown", "(?d)\n\\z", "").alias("value"))
+    (named.repartition("date", "file_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date", "file_name").text(folder))
 
 
-def report_table_read(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("company string, markdown string, file_name string, date string").parquet(folder)
+def report_files_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Every saved report below ``folder`` as one row, ``path`` and ``markdown``: loose ``*.md`` files
+    as well as what ``report_files_write`` leaves."""
+    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("markdown")))
+    return files.filter(F.col("path").rlike(r"\.md(?:/[^/]*)?$"))
