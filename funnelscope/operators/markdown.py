@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelscope import fixed_values as fv
-from funnelscope.functions.text import find, is_blank, let, lines, py_slice, strip, unix_lines
+from funnelscope.functions.text import fill, find, is_blank, let, lines, py_slice, strip, unix_lines
 from funnelscope.functions.urls import company_name
 
 SECTION_TYPE = "array<struct<heading:string,content:string>>"
@@ -283,15 +283,20 @@ def findings_inject(body: Column, findings: Column) -> Column:
                         F.slice(rows, F.lit(1), F.coalesce(at, F.lit(0))), F.array(bullet),
                         F.slice(rows, F.coalesce(at, F.lit(0)) + 1, n)))))))
 
+    def finding_of(layer):
+        return F.try_element_at(F.filter(findings, lambda x: x["layer"] == layer), F.lit(1))
+
+    def place(rows, layer, bullet):
+        return let(rows, lambda r: let(insert(r, layer, bullet), lambda done: F.struct(
+            F.coalesce(done, r).alias("rows"), (done.isNull() & bullet.isNotNull()).alias("leftover"))))
+
     rows, left = lines(body), F.lit("")
     for layer in (1, 3):
-        f = F.try_element_at(F.filter(findings, lambda x, n=layer: x["layer"] == n), F.lit(1))
-        bullet = F.concat(F.lit("- **Observed:** "), f["observed"], F.lit(" → **Why it matters:** "), f["why"],
-                          F.lit(" → **Hypothesis to test:** "), f["hypothesis"])
-        placed = let(rows, lambda r, n=layer, b=bullet: F.struct(
-            F.coalesce(insert(r, n, b), r).alias("rows"), (insert(r, n, b).isNull() & b.isNotNull()).alias("leftover")))
-        left = F.concat(left, F.coalesce(F.when(placed["leftover"], F.concat(
-            F.lit(f"\n### {fv.LAYER_TITLES[layer - 1]}\n\n"), bullet, F.lit("\n"))), F.lit("")))
+        f = finding_of(layer)
+        bullet = fill(fv.JS_BULLET, observed=f["observed"], why=f["why"], hypothesis=f["hypothesis"])
+        placed = place(rows, layer, F.when(f.isNotNull(), bullet))
+        section = F.concat(F.lit(f"\n### {fv.LAYER_TITLES[layer - 1]}\n\n"), bullet, F.lit("\n"))
+        left = F.concat(left, F.when(placed["leftover"], section).otherwise(""))
         rows = placed["rows"]
     text = F.array_join(rows, "\n")
     with_left = F.when(left != "", F.concat(

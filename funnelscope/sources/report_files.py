@@ -24,6 +24,6 @@ def report_files_write(reports: DataFrame, folder: str) -> None:
 def report_files_read(spark: SparkSession, folder: str) -> DataFrame:
     """Every saved report below ``folder`` as one row, ``path`` and ``markdown``: loose ``*.md`` files
     as well as what ``report_files_write`` leaves."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    files = (spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
              .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("markdown")))
     return files.filter(F.col("path").rlike(r"\.md(?:/[^/]*)?$"))

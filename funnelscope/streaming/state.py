@@ -115,16 +115,28 @@ def log_tail_stream(events: DataFrame, keep: int = fv.LOG_LINES) -> DataFrame:
 
 
 def upsert_notes(folder: str):
-    """``foreachBatch`` sink: merges each micro-batch into the latest-note table and writes a new version.
+    """``foreachBatch`` sink: the batch's last note per (audit, layer), one sub-folder per batch.
 
-    A batch that is replayed after a failure writes the same version again, so the sink is idempotent.
+    A replayed batch overwrites its own sub-folder, so the sink is idempotent and never rewrites
+    older ones; ``read_notes`` resolves the latest, and ``compact_notes`` folds them when many pile up.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select("audit_id", "layer", "text", "saved_at", "event_id")
-        if batch_id > 0:
-            fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{folder}/version={batch_id - 1}"))
-        latest = fresh.groupBy("audit_id", "layer").agg(
+        last = batch.groupBy("audit_id", "layer").agg(
             F.max(F.struct("saved_at", "event_id", "text")).alias("last")).select("audit_id", "layer", "last.*")
-        latest.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        last.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
     return write
+
+
+NOTE_SCHEMA = "audit_id bigint, layer string, saved_at timestamp, event_id bigint, text string, batch bigint"
+
+
+def read_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Current note of every (audit, layer)."""
+    rows = spark.read.schema(NOTE_SCHEMA).parquet(folder)
+    return rows.groupBy("audit_id", "layer").agg(
+        F.max(F.struct("saved_at", "event_id", "text")).alias("last")).select("audit_id", "layer", "last.*")
+
+
+def compact_notes(spark: SparkSession, folder: str, target: str) -> None:
+    """Writes the current notes as a fresh table in ``target``."""
+    read_notes(spark, folder).write.parquet(f"{target}/batch=-1")
