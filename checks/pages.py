@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.views import audits, captures, table, view, with_views
 from funnelscope import fixed_values as fv
 from funnelscope.functions import match, text as tx, urls
+from funnelscope.functions.arrays import rows_of
 from funnelscope.operators import discovery, features, findings, layers, render
 from funnelscope.session import materialize
 from funnelscope.sources import captures as cap, html as ht
@@ -177,7 +178,7 @@ def _(spark, sf):
 
 
 @query("report_filename", """
-select audit_id, c || '-growth-audit-2024-01-30.md' as file_name, upper(c[1]) || substr(c, 2) || ' Growth Audit' as title
+select audit_id, c || '-growth-audit-2024-01-30.md' as file_name, array_to_string(list_transform(string_split(c, '-'), lambda x: upper(x[1]) || substr(x, 2)), '-') || ' Growth Audit' as title
 from (select audit_id, split_part(split_part(url, '/', 3), '.', 1) as c from fx_sites) q""", ("fx_sites",))
 def _(spark, sf):
     return audits(spark, sf).select(
@@ -192,14 +193,14 @@ select url, mode, cast(ord as int) as ord, regexp_extract(e, '^<([a-z0-9]+)', 1)
 from (select url, mode, unnest(l) as e, generate_subscripts(l, 1) as ord from tags) q"""), CAPS)
 def _(spark, sf):
     parsed = ht.page_tokenize(cap.capture_classify(view(spark, sf, "fx_captures")))
-    return parsed.select("url", "mode", F.explode("elements").alias("e")).select("url", "mode", "e.ord", "e.tag", "e.href")
+    return rows_of(parsed, "elements", ["url", "mode"], item="e").select("url", "mode", "e.ord", "e.tag", "e.href")
 
 
 @query("link_resolve", o("last_ as (select 1) select url, mode, cast(ord as bigint) as nth, href, href_abs from (select *, row_number() over (partition by url, mode order by ord) as nth_ from ab where tag = 'a') q(url, mode, ord_, tag, text, href, href_abs, ord)"), CAPS)
 def _(spark, sf):
     parsed = ht.page_tokenize(cap.capture_classify(view(spark, sf, "fx_captures")))
     anchors = F.filter("elements", lambda e: e["tag"] == "a")
-    return parsed.select("url", "mode", F.posexplode(anchors).alias("i", "e")).select(
+    return rows_of(parsed, anchors, ["url", "mode"], "i", "e").select(
         "url", "mode", (F.col("i") + 1).cast("bigint").alias("nth"), "e.href", "e.href_abs")
 
 
@@ -215,7 +216,7 @@ def _(spark, sf):
 
 @query("page_links", o("last_ as (select 1) select url, mode, cast(ord as int) as ord, text, href from links"), CAPS)
 def _(spark, sf):
-    return both(spark, sf).filter("ok").select("url", "mode", F.posexplode("links").alias("ord", "l")).select("url", "mode", "ord", "l.text", "l.href")
+    return rows_of(both(spark, sf).filter("ok"), "links", ["url", "mode"], "ord", "l").select("url", "mode", "ord", "l.text", "l.href")
 
 
 @query("page_ctas", o("last_ as (select 1) select url, mode, array_to_string(ctas, '|') as ctas, cast(len(ctas) as int) as n from feat"), CAPS)
@@ -225,7 +226,7 @@ def _(spark, sf):
 
 @query("cta_text", o("last_ as (select 1) select url, mode, cast(k as int) as k, text as cta from cta where k <= 25"), CAPS)
 def _(spark, sf):
-    return both(spark, sf).filter("ok").select("url", "mode", F.posexplode("ctas").alias("i", "c")).select(
+    return rows_of(both(spark, sf).filter("ok"), "ctas", ["url", "mode"], "i", "c").select(
         "url", "mode", (F.col("i") + 1).alias("k"), features.cta_text(F.col("c")).alias("cta"))
 
 
@@ -312,7 +313,7 @@ TYPE_SQL = "\n".join(
 h as (select url, mode, ord, lower(text) || ' ' || lower(regexp_replace(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')) as hay from links)
 select url, mode, cast(ord as int) as ord, types from (select url, mode, ord, concat_ws('|', {TYPE_SQL.rstrip(',')}) as types from h) q where types <> ''"""), CAPS)
 def _(spark, sf):
-    l = both(spark, sf).filter("ok").select("url", "mode", F.posexplode("links").alias("ord", "l"))
+    l = rows_of(both(spark, sf).filter("ok"), "links", ["url", "mode"], "ord", "l")
     return l.select("url", "mode", "ord", joined(match.page_type_match(F.col("l.text"), F.col("l.href"))).alias("types")).filter("types <> ''")
 
 
@@ -584,7 +585,7 @@ k as (select regexp_replace(split_part(href, '/', 3), '^www\\.', '') as domain,
 select domain, kind, count(*) as links, count(distinct href) as assets, 'INFERRED' as evidence from (select domain, href, case when regexp_matches(path, '/(lp|go)/') then 'campaign'
   when regexp_matches(path, '(^|[/_-])vs([/_-]|$)') then 'versus' when contains(path, 'switch') then 'switch' end as kind from k) q where kind is not null group by domain, kind"""), CAPS)
 def _(spark, sf):
-    return layers.landing_assets(rendered(spark, sf).filter("ok").select(F.explode("links").alias("l")).select("l.*"))
+    return layers.landing_assets(discovery.link_table(rendered(spark, sf).filter("ok")))
 
 
 @query("message_match", o("""

@@ -10,6 +10,7 @@ from checks import pages as pg
 from checks.research import SOURCES, seeds, source_blocks
 from checks.views import audits, table, view, with_views
 from funnelscope import fixed_values as fv
+from funnelscope.functions.arrays import rows_of
 from funnelscope.operators import findings, markdown as md, report, research
 from funnelscope.session import work_dir
 from funnelscope.sources import captures as cap, report_files
@@ -40,7 +41,7 @@ select report_id, cast(pos as int) as pos, case when pos = 1 then '' else split_
   trim(case when pos = 1 then piece else substr(piece, length(split_part(piece, chr(10), 1)) + 1) end, ' ' || chr(10)) as content from s""", R)
 def _(spark, sf):
     parts = md.md_sections(F.col("markdown"), 2)
-    return reports(spark, sf).select("report_id", F.posexplode(parts).alias("i", "s")).select(
+    return rows_of(reports(spark, sf), parts, ["report_id"], "i", "s").select(
         "report_id", (F.col("i") + 1).alias("pos"), "s.heading", "s.content")
 
 
@@ -50,7 +51,7 @@ g as (select *, sum(case when starts_with(line, '- ') or starts_with(line, '* ')
 select report_id, cast(b as int) as pos, string_agg(trim(case when starts_with(line, '- ') or starts_with(line, '* ') then substr(line, 3) else line end), chr(10) order by n) as bullet
 from g where b > 0 and (trim(line) <> '' or starts_with(line, '- ') or starts_with(line, '* ')) group by report_id, b""", R)
 def _(spark, sf):
-    return reports(spark, sf).select("report_id", F.posexplode(md.md_bullets(F.col("markdown"))).alias("i", "bullet")).select(
+    return rows_of(reports(spark, sf), md.md_bullets(F.col("markdown")), ["report_id"], "i", "bullet").select(
         "report_id", (F.col("i") + 1).alias("pos"), "bullet")
 
 
@@ -77,7 +78,7 @@ with w as (select report_id, report_id % 5 + 1 as layer, 1 as k, replace(text, c
   union all select doc_id, 2, 2, 'plain strength' || chr(10) || 'more of it' from documents)
 select report_id, cast(layer as int) as layer, trim(arg_max(t, k)) as working from w group by report_id, layer""")
 def _(spark, sf):
-    return mined(spark, sf).select("report_id", F.explode("working").alias("w")).select("report_id", "w.layer", F.col("w.text").alias("working"))
+    return rows_of(mined(spark, sf), "working", ["report_id"], item="w").select("report_id", "w.layer", F.col("w.text").alias("working"))
 
 
 @query("report_observations", """
@@ -85,8 +86,8 @@ select doc_id as report_id, 1 as layer, 'a' || doc_id as observed, 'b' as why, '
 union all select doc_id, 1, null, null, null, 'only raw ' || lang from documents where doc_id % 3 = 0
 union all select doc_id, 3, null, null, null, 'Nothing to say.' from documents""")
 def _(spark, sf):
-    o = mined(spark, sf).select("report_id", F.explode("observations").alias("o")).select("report_id", "o.layer", F.explode("o.items").alias("i"))
-    return o.select("report_id", "layer", "i.*")
+    o = rows_of(mined(spark, sf), "observations", ["report_id"], item="o").select("report_id", "o.layer", "o.items")
+    return rows_of(o, "items", ["report_id", "layer"], item="i").select("report_id", "layer", "i.*")
 
 
 PRIORITIES = """
@@ -96,7 +97,7 @@ pr as (select doc_id as report_id, 1 as rank, 'First ' || source as title, 'Beca
 
 @query("report_priorities", f"with {PRIORITIES} select * from pr")
 def _(spark, sf):
-    return mined(spark, sf).select("report_id", F.posexplode("priorities").alias("i", "p")).select(
+    return rows_of(mined(spark, sf), "priorities", ["report_id"], "i", "p").select(
         "report_id", (F.col("i") + 1).alias("rank"), "p.title", "p.rationale", "p.impact", "p.confidence", "p.speed")
 
 
@@ -105,7 +106,7 @@ LEVEL = "case {x} when 'High' then 3 when 'Med' then 2 when 'Low' then 1 else 0
 
 @query("priority_top3", f"with {PRIORITIES} select report_id, rank, title, {LEVEL.format(x='impact')} as impact, {LEVEL.format(x='confidence')} as confidence, {LEVEL.format(x='speed')} as speed from pr where rank <= 3")
 def _(spark, sf):
-    return mined(spark, sf).select("report_id", F.explode(md.priority_top(F.col("priorities"))).alias("p")).select("report_id", "p.*")
+    return rows_of(mined(spark, sf), md.priority_top(F.col("priorities")), ["report_id"], item="p").select("report_id", "p.*")
 
 
 @query("priority_rescore", f"""
@@ -113,7 +114,7 @@ with {PRIORITIES}, s as (select report_id, rank, title, {LEVEL.format(x='impact'
 k as (select *, cast(row_number() over (partition by report_id order by score desc, rank) as int) as score_rank from s)
 select report_id, rank, title, score, score_rank, rank = score_rank as rank_agrees from k""")
 def _(spark, sf):
-    return mined(spark, sf).select("report_id", F.explode(md.priority_rescore(F.col("priorities"))).alias("p")).select("report_id", "p.*")
+    return rows_of(mined(spark, sf), md.priority_rescore(F.col("priorities")), ["report_id"], item="p").select("report_id", "p.*")
 
 
 @query("report_data_questions", "select doc_id as report_id, 'q1|q2 ' || lang as questions from documents")
@@ -201,7 +202,7 @@ NL = " || chr(10) || "
 BUILT = f"""
 lg as (select a.audit_id, string_agg('- Page: ' || p.url || ' - OK', chr(10) order by p.page_id) as log from aud a join fx_pages p on p.site = a.url group by a.audit_id),
 sc as (select a.audit_id, string_agg('- [' || case when title <> '' then title else s.url end || '](' || s.url || ')', chr(10) order by s.url) as cited, count(*) as n from aud a join src s on s.audit_id = a.audit_id group by a.audit_id),
-bt as (select a.audit_id, a.company, '2024-01-30' as date, '# ' || upper(a.company[1]) || substr(a.company, 2) || ' Growth Audit'{NL}''{NL}'## 1. Audit Scope'{NL}''{NL}'- **URL audited:** ' || a.url{NL}'- **ICP lens:** ' || a.icp{NL}
+bt as (select a.audit_id, a.company, '2024-01-30' as date, '# ' || array_to_string(list_transform(string_split(a.company, '-'), lambda x: upper(x[1]) || substr(x, 2)), '-') || ' Growth Audit'{NL}''{NL}'## 1. Audit Scope'{NL}''{NL}'- **URL audited:** ' || a.url{NL}'- **ICP lens:** ' || a.icp{NL}
    '- **Date:** 2024-01-30'{NL}'- **Competitors compared:** ' || case when len(competitors) > 0 then array_to_string(competitors, ', ') else 'none' end{NL}'- **Channels covered:** {fv.REPORT_CHANNELS}'{NL}
    '- **High-intent keywords used:** ' || array_to_string(keywords, '; '){NL}'- **Method notes:** {fv.REPORT_METHOD}'{NL}''{NL}
    trim(d.markdown, ' ' || chr(10)) || case when a.audit_id % 2 = 0 then chr(10){NL}'## 6. Analyst Field Notes'{NL}''{NL}'_Live observations added by the analyst, not AI-generated._'{NL}''{NL}'### Layer 2 - Paid Acquisition'{NL}''{NL}'seen by hand ' || d.lang else '' end{NL}
@@ -246,7 +247,7 @@ select a.audit_id, l.layer, case when l.layer in (1, 3) then 'done' else 'failed
 from aud a cross join (values (1), (2), (3), (4), (5)) l(layer) left join nt n on n.audit_id = a.audit_id and n.layer = l.layer""", BV)
 def _(spark, sf):
     loaded = md.load_reports(built(spark, sf).select("audit_id", "markdown"))
-    return loaded.select("audit_id", F.explode("layers").alias("l")).select("audit_id", "l.layer", "l.status", "l.notes")
+    return rows_of(loaded, "layers", ["audit_id"], item="l").select("audit_id", "l.layer", "l.status", "l.notes")
 
 
 @query("findings_inject", """

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from funnelscope.functions.urls import company_name
+from funnelscope.session import spread
 
 SITE = ("'https://' || case when split_part(url, '/', 3) like 'www.%' then substr(split_part(url, '/', 3), 5) "
         "else split_part(url, '/', 3) end")
@@ -110,7 +111,9 @@ NEEDS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # only the tables whose texts are parsed or matched
+    return spread(df) if name in ("pages", "documents") else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -147,3 +147,4 @@ PY_SPACES = (
 )
 PY_SPACE_CLASS = r"[\s\x1c-\x1f]"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+OTHER_LINE_BREAKS = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"

@@ -30,12 +30,20 @@ def is_blank(c: Column) -> Column:
 
 
 def unix_lines(c: Column) -> Column:
-    """All line boundaries as ``\\n``; the boundary at the very end is dropped."""
-    return F.regexp_replace(F.regexp_replace(c, fv.LINE_BREAKS, "\n"), "(?d)\n\\z", "")
+    """All line boundaries as ``\\n``; the boundary at the very end is dropped.
+
+    Most texts hold only ``\\n``; a plain search finds that out far faster than replacing would.
+    """
+    def unify(v):
+        return F.when(v.rlike(fv.OTHER_LINE_BREAKS), F.regexp_replace(v, fv.LINE_BREAKS, "\n")).otherwise(v)
+
+    def drop_last(v):
+        return F.when(v.endswith("\n"), F.left(v, F.length(v) - 1)).otherwise(v)
+    return let(let(c, unify), drop_last)
 
 
 def lines(c: Column) -> Column:
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(unix_lines(c), "\n"))
+    return let(c, lambda v: F.when(v == "", F.array().cast("array<string>")).otherwise(F.split(unix_lines(v), "\n")))
 
 
 def title_case(c: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelscope import fixed_values as fv
+from funnelscope.functions.arrays import rows_of
 from funnelscope.functions.match import haystack_has, link_haystack
 from funnelscope.functions.text import let
 from funnelscope.functions.urls import bare_domain, same_site
@@ -18,7 +19,7 @@ from funnelscope.operators.render import missing_page_defaults
 
 def link_table(pages: DataFrame) -> DataFrame:
     """One row per link: ``url, ord, text, href``."""
-    return pages.select("url", F.posexplode("links").alias("ord", "link")).select("url", "ord", "link.*")
+    return rows_of(pages, "links", ["url"], "ord", "link").select("url", "ord", "link.*")
 
 
 def link_candidates(links: Column, base: Column, words: list[str]) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelscope import fixed_values as fv
+from funnelscope.functions.arrays import rows_of
 from funnelscope.functions.urls import bare_domain, url_path
 from funnelscope.operators.features import cta_text
 from funnelscope.operators.timeline import running_sum
@@ -116,7 +117,7 @@ def field_category(field: Column) -> Column:
 
 def upfront_information(pages: DataFrame) -> DataFrame:
     """Fields a form page asks for, by category, with how many are required."""
-    fields = pages.select("url", F.explode(form_field_list(F.col("forms"))).alias("field"))
+    fields = rows_of(pages, form_field_list(F.col("forms")), ["url"], item="field").drop("pos")
     cats = [*FIELD_CATEGORIES, "other"]
     cat = field_category(F.col("field"))
     return fields.withColumn("category", cat).groupBy("url").agg(

@@ -27,3 +27,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, few_files: int = 16) -> DataFrame:
+    """A table of a handful of files over all cores; larger tables are left as they are scanned.
+
+    Parsing and text matching are worth more tasks than a small file gives. The exchange is only ever
+    paid on ``few_files`` files; a table of many files already has more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) <= min(few_files, cores) else df

@@ -64,6 +64,10 @@ class _PageReader(HTMLParser):
         self._open: list[tuple[str, dict | None, int]] = []
         self._open_count: Counter = Counter()
         self._pending: list[str] = []
+        self._silent = self._hidden = 0     # how many open elements silence or hide text
+
+    def updatepos(self, i, j):
+        return j    # line numbers are not used
 
     def handle_data(self, data):
         self._pending.append(data)
@@ -120,10 +124,14 @@ class _PageReader(HTMLParser):
         if not closed:
             self._open.append((tag, element, len(self.heard)))
             self._open_count[tag] += 1
+            self._silent += tag in SILENT_TAGS
+            self._hidden += tag in HIDDEN_TAGS
 
     def _close_top(self):
         tag, element, first_piece = self._open.pop()
         self._open_count[tag] -= 1
+        self._silent -= tag in SILENT_TAGS
+        self._hidden -= tag in HIDDEN_TAGS
         if element and "ord" in element:
             element["last"] = len(self.kept)
             if tag in TEXT_TAGS:
@@ -140,10 +148,10 @@ class _PageReader(HTMLParser):
         if top and top["tag"] == "json":
             self._read_json(piece)
         piece = piece.strip()
-        if not piece or any(self._open_count[t] for t in SILENT_TAGS):
+        if not piece or self._silent:
             return
         self.heard.append(piece)
-        if not any(self._open_count[t] for t in HIDDEN_TAGS):
+        if not self._hidden:
             self.visible.append(piece)
 
     def _read_json(self, source):
