@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelscope import fixed_values as fv
-from funnelscope.operators.timeline import DEFAULT_BUCKET_US, last_before, micros, running_sum, trailing_count
+from funnelscope.operators.timeline import DEFAULT_BUCKET_US, last_before, micros, running_sum, session_starts, trailing_count
 
 
 def events_replay(events: DataFrame, last_seq: Column) -> DataFrame:
@@ -112,10 +112,8 @@ def notes_upsert(notes: DataFrame) -> DataFrame:
 def edit_sessions(edits: DataFrame, gap_ms: int = fv.NOTE_SAVE_DELAY_MS, width: int = DEFAULT_BUCKET_US) -> DataFrame:
     """One save per burst of edits: a pause longer than ``gap_ms`` ends a burst."""
     keys = ["audit_id", "layer"]
-    rows = edits.withColumn("_us", micros(F.col("saved_at")))
-    rows = last_before(rows, keys, "_us", ["event_id"], F.col("_us"), "_prev", False, width)
-    starts = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > gap_ms * 1000), F.col("_us"))
-    rows = last_before(rows, keys, "_us", ["event_id"], starts, "_start", True, width)
+    rows = session_starts(edits.withColumn("_us", micros(F.col("saved_at"))), keys, "_us", ["event_id"],
+                          lambda before, now: now - before > gap_ms * 1000, "_start", width)
     start = F.timestamp_micros("_start").cast(edits.schema["saved_at"].dataType)
     return rows.groupBy(*keys, start.alias("session_start")).agg(
         F.max("saved_at").alias("last_edit"), F.count(F.lit(1)).alias("edits"),
@@ -126,9 +124,8 @@ def failure_rate_window(attempts: DataFrame, window_s: int = fv.LOGIN_WINDOW_SEC
                         width: int = DEFAULT_BUCKET_US) -> DataFrame:
     """Failed attempts of the client in the window before each attempt (checked first, then recorded)."""
     rows = attempts.withColumn("_us", micros(F.col("ts")))
-    counts = trailing_count(rows, rows.filter(~F.col("ok")), ["client"], "_us", "event_id",
-                            window_s * 1_000_000, "recent_failures")
-    return attempts.join(counts, ["client", "event_id"])
+    return trailing_count(rows, rows.filter(~F.col("ok")), ["client"], "_us", "event_id",
+                          window_s * 1_000_000, "recent_failures", width).drop("_us")
 
 
 def recorded_failures(attempts: DataFrame, limit: int = fv.LOGIN_FAILURES, window_s: int = fv.LOGIN_WINDOW_SECONDS,
@@ -141,9 +138,7 @@ def recorded_failures(attempts: DataFrame, limit: int = fv.LOGIN_FAILURES, windo
     """
     window_us = window_s * 1_000_000
     rows = attempts.filter(~F.col("ok")).select("client", "event_id", micros(F.col("ts")).alias("us"))
-    rows = last_before(rows, ["client"], "us", ["event_id"], F.col("us"), "prev", False, width)
-    fresh = F.when(F.col("prev").isNull() | (F.col("us") - F.col("prev") >= window_us), F.col("us"))
-    rows = last_before(rows, ["client"], "us", ["event_id"], fresh, "stretch", True, width)
+    rows = session_starts(rows, ["client"], "us", ["event_id"], lambda before, now: now - before >= window_us, "stretch", width)
     ordered = (rows.select("client", "stretch", "us", "event_id").repartition("client", "stretch")
                .sortWithinPartitions("client", "stretch", "us", "event_id"))
 
@@ -173,6 +168,6 @@ def lockout_replay(attempts: DataFrame, limit: int = fv.LOGIN_FAILURES, window_s
     """
     rows = attempts.withColumn("_us", micros(F.col("ts")))
     recorded = recorded_failures(attempts, limit, window_s, width).withColumnRenamed("us", "_us")
-    counts = trailing_count(rows, recorded, ["client"], "_us", "event_id", window_s * 1_000_000, "recorded_failures")
+    counted = trailing_count(rows, recorded, ["client"], "_us", "event_id", window_s * 1_000_000, "recorded_failures", width)
     outcome = F.when(F.col("recorded_failures") >= limit, "locked").when(F.col("ok"), "ok").otherwise("rejected")
-    return attempts.join(counts, ["client", "event_id"]).withColumn("outcome", outcome)
+    return counted.drop("_us").withColumn("outcome", outcome)

@@ -56,22 +56,48 @@ def last_before(df: DataFrame, keys: list[str], us: str, ties: list[str], value:
         "_v", "_bucket", "_carried")
 
 
+def session_starts(df: DataFrame, keys: list[str], us: str, ties: list[str], is_break, name: str,
+                   width: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """``name`` = the time at which the row's stretch began; ``is_break(previous, current)`` tells where one begins.
+
+    Breaks inside a bucket show in the bucket itself. Whether its first row begins a stretch depends
+    only on the last time before the bucket, so one row per bucket (first, last, last inner break) is
+    all that has to be carried along the key.
+    """
+    bucket = W.partitionBy(*keys, "_bucket").orderBy(us, *ties)
+    rows = (_with_bucket(df, us, width).withColumn("_prev", F.lag(us).over(bucket))
+            .withColumn("_inner", F.when(F.col("_prev").isNotNull() & is_break(F.col("_prev"), F.col(us)), F.col(us))))
+    totals = rows.groupBy(*keys, "_bucket").agg(
+        F.min(us).alias("_first"), F.max(us).alias("_last"), F.max("_inner").alias("_last_inner"))
+    before = _before(keys)
+    earlier = F.max("_last").over(before)
+    opens = totals.withColumn("_earlier", earlier).withColumn("_opening", F.when(
+        F.col("_earlier").isNull() | is_break(F.col("_earlier"), F.col("_first")), F.col("_first")))
+    carried = opens.select(*keys, "_bucket", F.coalesce("_opening", F.last(
+        F.coalesce("_last_inner", "_opening"), ignorenulls=True).over(before)).alias("_carried_start"))
+    running = F.max("_inner").over(bucket.rowsBetween(W.unboundedPreceding, 0))
+    return (rows.withColumn("_running", running).join(carried, [*keys, "_bucket"])
+            .withColumn(name, F.coalesce("_running", "_carried_start")).drop("_prev", "_inner", "_running", "_carried_start", "_bucket"))
+
+
 def trailing_count(probes: DataFrame, hits: DataFrame, keys: list[str], us: str, tie: str, window_us: int,
-                   name: str) -> DataFrame:
-    """``name`` = hits of the same key strictly before each probe and strictly newer than ``us - window_us``.
+                   name: str, width: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """Probes with ``name`` = hits of the same key strictly before them and strictly newer than ``us - window_us``.
 
     Written as the difference of two running counts (before the probe, minus up to the window's edge),
-    so no frame is ever scanned. ``tie`` (a bigint) orders rows of equal time and names the probe.
+    so no frame is ever scanned. ``tie`` (a bigint) orders rows of equal time and tells probes apart.
     """
     last = F.lit(2**63 - 1)
+    row, nothing = F.struct(*probes.columns), F.lit(None).cast(probes.select(F.struct(*probes.columns)).schema[0].dataType)
     marks = F.array(
-        F.struct(F.col(us).alias("at"), F.col(tie).alias("tie"), F.lit(1).alias("sign")),
-        F.struct((F.col(us) - window_us).alias("at"), last.alias("tie"), F.lit(-1).alias("sign")))
+        F.struct(F.col(us).alias("at"), F.col(tie).alias("tie"), F.lit(1).alias("sign"), row.alias("row")),
+        F.struct((F.col(us) - window_us).alias("at"), last.alias("tie"), F.lit(-1).alias("sign"), nothing.alias("row")))
     asked = (probes.select(*keys, F.col(tie).alias("probe"), F.explode(marks).alias("m"))
              .select(*keys, "probe", "m.*", F.lit(0).alias("hit")))
-    happened = hits.select(*keys, F.lit(None).cast("bigint").alias("probe"), F.col(us).alias("at"),
-                           F.col(tie).alias("tie"), F.lit(0).alias("sign"), F.lit(1).alias("hit"))
+    happened = hits.select(*keys, F.lit(None).cast("bigint").alias("probe"), F.col(us).alias("at"), F.col(tie).alias("tie"),
+                           F.lit(0).alias("sign"), nothing.alias("row"), F.lit(1).alias("hit"))
     # a probe at its own hit sorts first, so that hit is not counted
-    counted = running_sum(asked.unionByName(happened), keys, "at", ["tie", "hit"], F.col("hit"), "so_far")
-    return (counted.filter(F.col("sign") != 0).groupBy(*keys, F.col("probe").alias(tie))
-            .agg(F.sum(F.col("sign") * F.col("so_far")).alias(name)))
+    counted = running_sum(asked.unionByName(happened), keys, "at", ["tie", "hit"], F.col("hit"), "so_far", width)
+    return (counted.filter(F.col("sign") != 0).groupBy(*keys, "probe")
+            .agg(F.sum(F.col("sign") * F.col("so_far")).alias(name), F.first("row", ignorenulls=True).alias("row"))
+            .select("row.*", name))
