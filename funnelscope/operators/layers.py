@@ -82,10 +82,11 @@ def organic_rank(results: DataFrame, targets: DataFrame) -> DataFrame:
     """
     best = (results.withColumn("domain", bare_domain(F.col("url"))).groupBy("keyword", "domain")
             .agg(F.min(F.struct("position", "url")).alias("best")).select("keyword", "domain", "best.*"))
-    leaders = best.groupBy("keyword").agg(F.min_by("domain", "position").alias("leader"))
-    ranked = running_sum(best, ["keyword"], "position", ["domain"], F.lit(1), "n", width=1000)
-    return (ranked.join(targets.select("domain").distinct(), "domain", "left_semi").join(leaders, "keyword")
-            .select("keyword", "domain", "position", "url", (F.col("n") - 1).alias("domains_above"), "leader"))
+    ranked = running_sum(best, ["keyword"], "position", ["domain"], F.lit(1), "n", width=1000,
+                         whole_key={"top": (F.min(F.struct("position", "domain")), F.min)})
+    return (ranked.join(targets.select("domain").distinct(), "domain", "left_semi")
+            .select("keyword", "domain", "position", "url", (F.col("n") - 1).alias("domains_above"),
+                    F.col("top.domain").alias("leader")))
 
 
 def answer_mention_share(answers: DataFrame, sources: DataFrame) -> DataFrame:

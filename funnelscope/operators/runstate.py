@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,11 +22,9 @@ def event_sequence(events: DataFrame, started: str | None = None, width: int = D
 
     ``started`` names the start-time column; without it an audit starts at its first event.
     """
-    rows = running_sum(events.withColumn("_us", micros(F.col("ts"))), ["audit_id"], "_us", ["event_id"], F.lit(1), "_n", width)
-    if started is None:
-        starts = events.groupBy("audit_id").agg(F.min("ts").alias("_started"))
-        rows = rows.join(starts, "audit_id")
-    else:
+    first = {} if started else {"_started": (F.min("ts"), F.min)}
+    rows = running_sum(events.withColumn("_us", micros(F.col("ts"))), ["audit_id"], "_us", ["event_id"], F.lit(1), "_n", width, first)
+    if started:
         rows = rows.withColumn("_started", F.col(started))
     seconds = (F.col("_us") - micros(F.col("_started"))) / F.lit(1_000_000)
     return rows.withColumn("seq", F.col("_n") - 1).withColumn("t", F.bround(seconds, 1)).drop("_n", "_us", "_started")
@@ -78,10 +77,9 @@ def run_duration(started: Column, finished: Column, now: Column | None = None) -
 def log_tail(events: DataFrame, keep: int = fv.LOG_LINES, width: int = DEFAULT_BUCKET_US) -> DataFrame:
     """The last ``keep`` log lines of each audit (the cap is the feature), counted over its log lines only."""
     logs = events.filter(F.col("type") == "log").withColumn("_us", micros(F.col("ts")))
-    totals = logs.groupBy("audit_id").agg(F.count(F.lit(1)).alias("_total"))
-    numbered = running_sum(logs, ["audit_id"], "_us", ["event_id"], F.lit(1), "_n", width)
-    return (numbered.join(totals, "audit_id").filter(F.col("_n") > F.col("_total") - keep)
-            .drop("_n", "_total", "_us"))
+    numbered = running_sum(logs, ["audit_id"], "_us", ["event_id"], F.lit(1), "_n", width,
+                           {"_lines": (F.count(F.lit(1)), F.sum)})
+    return numbered.filter(F.col("_n") > F.col("_lines") - keep).drop("_n", "_lines", "_us")
 
 
 def running_activity(events: DataFrame, width: int = DEFAULT_BUCKET_US) -> DataFrame:
@@ -133,8 +131,10 @@ def recorded_failures(attempts: DataFrame, limit: int = fv.LOGIN_FAILURES, windo
     """Failures that are recorded: those that find fewer than ``limit`` recorded ones in the window.
 
     A failure more than a window after the one before it starts from a clean slate, so each client's
-    failures are cut into independent stretches. Stretches are sorted by Spark and folded while they
-    stream through the task; the fold holds at most ``limit`` times and never a whole stretch.
+    failures are cut into independent stretches. Only failures come here, three numbers a row; Spark
+    sorts each stretch and it is folded while it streams through the task. The fold holds ``limit`` times,
+    never a stretch, and jumps over everything that a full window shuts out, so an unbroken attack costs
+    a search per recorded failure (at most ``limit`` per window), not a step per attempt.
     """
     window_us = window_s * 1_000_000
     rows = attempts.filter(~F.col("ok")).select("client", "event_id", micros(F.col("ts")).alias("us"))
@@ -145,17 +145,25 @@ def recorded_failures(attempts: DataFrame, limit: int = fv.LOGIN_FAILURES, windo
     def fold(batches):
         current, recorded = None, deque(maxlen=limit)
         for batch in batches:
+            client, stretch, us = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edges = np.flatnonzero((client[1:] != client[:-1]) | (stretch[1:] != stretch[:-1])) + 1
             keep = []
-            for client, stretch, us in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (client, stretch) != current:
-                    current = (client, stretch)
+            for start, end in zip([0, *edges], [*edges, batch.num_rows]):
+                if start == end:
+                    continue
+                if (client[start], stretch[start]) != current:
+                    current = (client[start], stretch[start])
                     recorded.clear()
-                # with ``limit`` times held, the oldest decides whether the window is full
-                locked = len(recorded) == limit and recorded[0] > us - window_us
-                keep.append(not locked)
-                if not locked:
-                    recorded.append(us)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                at = start
+                while at < end:
+                    if len(recorded) == limit:   # full until the oldest leaves the window: jump there
+                        at = max(at, start + int(np.searchsorted(us[start:end], recorded[0] + window_us)))
+                        if at >= end:
+                            break
+                    recorded.append(int(us[at]))
+                    keep.append(at)
+                    at += 1
+            yield batch.take(pa.array(keep, pa.int64()))
 
     return ordered.mapInArrow(fold, ordered.schema)
 

@@ -33,11 +33,17 @@ def _before(keys: list[str]) -> W:
 
 
 def running_sum(df: DataFrame, keys: list[str], us: str, ties: list[str], value: Column, name: str,
-                width: int = DEFAULT_BUCKET_US) -> DataFrame:
-    """``name`` = sum of ``value`` over the key's earlier rows and this one, in (us, ties) order."""
+                width: int = DEFAULT_BUCKET_US, whole_key: dict | None = None) -> DataFrame:
+    """``name`` = sum of ``value`` over the key's earlier rows and this one, in (us, ties) order.
+
+    ``whole_key`` adds figures of the entire key, as ``{name: (aggregate per bucket, function combining
+    buckets)}``; they ride along with the bucket rows, where a join on the key alone would gather a hot key.
+    """
+    whole_key = whole_key or {}
     rows = _with_bucket(df.withColumn("_v", value.cast("bigint")), us, width)
-    staged = _carry(rows, keys, [F.sum("_v").alias("_total")],
-                    [F.coalesce(F.sum("_total").over(_before(keys)), F.lit(0)).alias("_offset")])
+    staged = _carry(rows, keys, [F.sum("_v").alias("_total"), *[agg.alias(n) for n, (agg, _) in whole_key.items()]],
+                    [F.coalesce(F.sum("_total").over(_before(keys)), F.lit(0)).alias("_offset"),
+                     *[combine(n).over(W.partitionBy(*keys)).alias(n) for n, (_, combine) in whole_key.items()]])
     here = W.partitionBy(*keys, "_bucket").orderBy(us, *ties).rowsBetween(W.unboundedPreceding, 0)
     return staged.withColumn(name, F.col("_offset") + F.sum("_v").over(here)).drop("_v", "_bucket", "_offset")
 
