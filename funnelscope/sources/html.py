@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import html.entities
 import json
+import sys
 from collections import Counter
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, types as T
 
+# Ship this module's code with the tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of HTML itself.
 VOID_TAGS = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input isindex keygen link "
