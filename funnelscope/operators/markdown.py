@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelscope import fixed_values as fv
+from funnelscope.functions.arrays import last_by_key
 from funnelscope.functions.text import fill, find, is_blank, let, lines, py_slice, strip, unix_lines
 from funnelscope.functions.urls import company_name
 
@@ -65,16 +66,14 @@ def section_find(sections: Column, needles: list[str]) -> Column:
 
 def _last_per_layer(items: Column) -> Column:
     """Of structs with a ``layer``, the last one of each, in order of first appearance."""
-    numbers = F.array_distinct(F.transform(items, lambda x: x["layer"]))
-    return let(items, lambda all_: F.transform(numbers, lambda n: F.element_at(
-        F.filter(all_, lambda x: x["layer"] == n), -1)))
+    return last_by_key(items, lambda x: x["layer"])
 
 
 def report_working(sections: Column) -> Column:
     label = r"(?U)\A\*\*Layer\s*\d[^*]*\*\*\s*[:\-—]?\s*"
     items = F.transform(md_bullets(section_find(sections, fv.WORKING_WORDS)), lambda b, i: F.struct(
         layer_number(b, i + 1).alias("layer"), F.regexp_replace(b, label, "").alias("text")))
-    return let(items, _last_per_layer)
+    return _last_per_layer(items)
 
 
 def _observation(bullet: Column) -> Column:
@@ -94,7 +93,7 @@ def report_observations(sections: Column) -> Column:
     parts = F.transform(md_sections(section_find(sections, fv.OBSERVATION_WORDS), 3), lambda s, i: F.struct(
         s["heading"].alias("heading"), layer_number(s["heading"], i).alias("layer"), items_of(s["content"]).alias("items")))
     headed = F.transform(F.filter(parts, lambda p: p["heading"] != ""), lambda p: F.struct(p["layer"], p["items"]))
-    return let(headed, _last_per_layer)
+    return _last_per_layer(headed)
 
 
 def _level(content: Column, group: int) -> Column:
@@ -216,9 +215,9 @@ def report_slices(md: Column) -> dict[str, Column]:
     at = F.locate(fv.FIELD_NOTES_HEADING, whole_body)
     body = F.when(at > 0, F.left(whole_body, at - 1)).otherwise(whole_body)
     field_notes = F.when(at > 0, F.substring(whole_body, at + len(fv.FIELD_NOTES_HEADING), F.length(whole_body)))
-    analyst = let(F.transform(
+    analyst = _last_per_layer(F.transform(
         F.filter(md_sections(field_notes, 3), lambda s: s["heading"] != ""),
-        lambda s: F.struct(layer_number(s["heading"], F.lit(1)).alias("layer"), s["content"].alias("text"))), _last_per_layer)
+        lambda s: F.struct(layer_number(s["heading"], F.lit(1)).alias("layer"), s["content"].alias("text"))))
     log = py_slice(md, find(md, "## Appendix A"), find(md, "## Appendix B"))
     return {
         "body": strip(body),
@@ -237,9 +236,7 @@ def _last_pairs(md: Column, pattern: str, key: int, value: int) -> Column:
     pairs = F.zip_with(F.regexp_extract_all(md, F.lit(pattern), F.lit(key)),
                        F.regexp_extract_all(md, F.lit(pattern), F.lit(value)),
                        lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    return let(pairs, lambda all_: F.transform(
-        F.array_distinct(F.transform(all_, lambda p: p["key"])),
-        lambda k: F.element_at(F.filter(all_, lambda p: p["key"] == k), -1)))
+    return last_by_key(pairs, lambda p: p["key"])
 
 
 def loaded_layer_status(text: Column) -> Column:

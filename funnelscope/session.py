@@ -8,12 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scratch: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a scratch folder of its own; a cluster must name a shared one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="funnelscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if context.applicationId not in _scratch:
+            _scratch[context.applicationId] = tempfile.mkdtemp(prefix="funnelscope-")
+        folder = _scratch[context.applicationId]
     return folder.rstrip("/")
 
 
