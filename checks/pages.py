@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.views import audits, captures, table, view, with_views
@@ -63,7 +65,8 @@ CAPS = ("fx_captures",)
 
 
 def o(body: str) -> str:
-    return "with " + OK.strip() + "\n" + body
+    """``body`` behind the common CTEs; ``@select`` marks where its own CTEs end."""
+    return re.sub(r",\s*@select", "\nselect", "with " + OK.strip() + "\n" + body)
 
 
 def both(spark, sf):
@@ -96,7 +99,7 @@ def joined(c, glue="|"):
 
 
 # ---- sources and URL functions ------------------------------------------------------------------
-@query("capture_classify", o("last_ as (select 1) select url, mode, err is null as ok, err as error from c"), CAPS)
+@query("capture_classify", o("@select url, mode, err is null as ok, err as error from c"), CAPS)
 def _(spark, sf):
     return cap.capture_classify(view(spark, sf, "fx_captures").drop("html")).select("url", "mode", "ok", "error")
 
@@ -196,7 +199,7 @@ def _(spark, sf):
     return rows_of(parsed, "elements", ["url", "mode"], item="e").select("url", "mode", "e.ord", "e.tag", "e.href")
 
 
-@query("link_resolve", o("last_ as (select 1) select url, mode, cast(ord as bigint) as nth, href, href_abs from (select *, row_number() over (partition by url, mode order by ord) as nth_ from ab where tag = 'a') q(url, mode, ord_, tag, text, href, href_abs, ord)"), CAPS)
+@query("link_resolve", o("@select url, mode, cast(ord as bigint) as nth, href, href_abs from (select *, row_number() over (partition by url, mode order by ord) as nth_ from ab where tag = 'a') q(url, mode, ord_, tag, text, href, href_abs, ord)"), CAPS)
 def _(spark, sf):
     parsed = ht.page_tokenize(cap.capture_classify(view(spark, sf, "fx_captures")))
     anchors = F.filter("elements", lambda e: e["tag"] == "a")
@@ -204,62 +207,62 @@ def _(spark, sf):
         "url", "mode", (F.col("i") + 1).cast("bigint").alias("nth"), "e.href", "e.href_abs")
 
 
-@query("page_title_meta", o("last_ as (select 1) select url, mode, title, meta_description from feat"), CAPS)
+@query("page_title_meta", o("@select url, mode, title, meta_description from feat"), CAPS)
 def _(spark, sf):
     return both(spark, sf).filter("ok").select("url", "mode", "title", "meta_description")
 
 
-@query("page_headings", o("last_ as (select 1) select url, mode, array_to_string(h1, '|') as h1, array_to_string(h2, '|') as h2, cast(len(h2) as int) as n_h2 from feat"), CAPS)
+@query("page_headings", o("@select url, mode, array_to_string(h1, '|') as h1, array_to_string(h2, '|') as h2, cast(len(h2) as int) as n_h2 from feat"), CAPS)
 def _(spark, sf):
     return both(spark, sf).filter("ok").select("url", "mode", joined("h1").alias("h1"), joined("h2").alias("h2"), F.size("h2").alias("n_h2"))
 
 
-@query("page_links", o("last_ as (select 1) select url, mode, cast(ord as int) as ord, text, href from links"), CAPS)
+@query("page_links", o("@select url, mode, cast(ord as int) as ord, text, href from links"), CAPS)
 def _(spark, sf):
     return rows_of(both(spark, sf).filter("ok"), "links", ["url", "mode"], "ord", "l").select("url", "mode", "ord", "l.text", "l.href")
 
 
-@query("page_ctas", o("last_ as (select 1) select url, mode, array_to_string(ctas, '|') as ctas, cast(len(ctas) as int) as n from feat"), CAPS)
+@query("page_ctas", o("@select url, mode, array_to_string(ctas, '|') as ctas, cast(len(ctas) as int) as n from feat"), CAPS)
 def _(spark, sf):
     return both(spark, sf).filter("ok").select("url", "mode", joined("ctas").alias("ctas"), F.size("ctas").alias("n"))
 
 
-@query("cta_text", o("last_ as (select 1) select url, mode, cast(k as int) as k, text as cta from cta where k <= 25"), CAPS)
+@query("cta_text", o("@select url, mode, cast(k as int) as k, text as cta from cta where k <= 25"), CAPS)
 def _(spark, sf):
     return rows_of(both(spark, sf).filter("ok"), "ctas", ["url", "mode"], "i", "c").select(
         "url", "mode", (F.col("i") + 1).alias("k"), features.cta_text(F.col("c")).alias("cta"))
 
 
-@query("page_forms", o("last_ as (select 1) select url, mode, array_to_string(forms, '|') as forms from feat"), CAPS)
+@query("page_forms", o("@select url, mode, array_to_string(forms, '|') as forms from feat"), CAPS)
 def _(spark, sf):
     return both(spark, sf).filter("ok").select("url", "mode", joined("forms").alias("forms"))
 
 
 @query("jsonld_types", o("""
-last_ as (select 1) select url, mode, case when html like '%ld+json%' then 'FAQPage|Question|WebPage' else '' end as types from ok"""), CAPS)
+@select url, mode, case when html like '%ld+json%' then 'FAQPage|Question|WebPage' else '' end as types from ok"""), CAPS)
 def _(spark, sf):
     parsed = ht.page_tokenize(cap.capture_classify(view(spark, sf, "fx_captures"))).filter("ok")
     return parsed.select("url", "mode", joined(F.sort_array("ld_types")).alias("types"))
 
 
 @query("microdata_types", o("""
-last_ as (select 1) select url, mode, array_to_string(list_transform(regexp_extract_all(html, 'itemtype="([^"]*)"', 1), lambda x: string_split(rtrim(x, '/'), '/')[-1]), '|') as types from ok"""), CAPS)
+@select url, mode, array_to_string(list_transform(regexp_extract_all(html, 'itemtype="([^"]*)"', 1), lambda x: string_split(rtrim(x, '/'), '/')[-1]), '|') as types from ok"""), CAPS)
 def _(spark, sf):
     parsed = ht.page_tokenize(cap.capture_classify(view(spark, sf, "fx_captures"))).filter("ok")
     return parsed.select("url", "mode", joined(features.microdata_types(F.col("elements"))).alias("types"))
 
 
-@query("schema_types", o("last_ as (select 1) select url, mode, array_to_string(schema_types, '|') as types, list_contains(schema_types, 'FAQPage') as has_faq_schema from feat"), CAPS)
+@query("schema_types", o("@select url, mode, array_to_string(schema_types, '|') as types, list_contains(schema_types, 'FAQPage') as has_faq_schema from feat"), CAPS)
 def _(spark, sf):
     return both(spark, sf).filter("ok").select("url", "mode", joined("schema_types").alias("types"), "has_faq_schema")
 
 
-@query("visible_text", o("last_ as (select 1) select url, mode, text from feat"), CAPS)
+@query("visible_text", o("@select url, mode, text from feat"), CAPS)
 def _(spark, sf):
     return ht.page_tokenize(cap.capture_classify(view(spark, sf, "fx_captures"))).filter("ok").select("url", "mode", "text")
 
 
-@query("word_count", o("last_ as (select 1) select url, mode, cast(word_count as int) as word_count, length(left(text, 6000)) as excerpt_chars, word_count < 150 as very_low from feat"), CAPS)
+@query("word_count", o("@select url, mode, cast(word_count as int) as word_count, length(left(text, 6000)) as excerpt_chars, word_count < 150 as very_low from feat"), CAPS)
 def _(spark, sf):
     return both(spark, sf).filter("ok").select(
         "url", "mode", "word_count", F.length("text_excerpt").cast("bigint").alias("excerpt_chars"),
@@ -298,7 +301,7 @@ def _(spark, sf):
 
 
 @query("fetch_gate", o("""
-last_ as (select 1) select c.url, case when c.err is null and f.word_count < 500 then 'thin' when c.err is not null and c.status_code in (401, 403, 429, 503) then 'blocked' end as reason
+@select c.url, case when c.err is null and f.word_count < 500 then 'thin' when c.err is not null and c.status_code in (401, 403, 429, 503) then 'blocked' end as reason
 from c left join feat f using (url, mode) where c.mode = 'standard' and (f.word_count < 500 or (c.err is not null and c.status_code in (401, 403, 429, 503)))"""), CAPS)
 def _(spark, sf):
     gate = match.fetch_gate(F.col("ok"), F.col("word_count"), F.col("status_code"))
@@ -356,20 +359,20 @@ METHOD = """case when fetch_method = 'playwright' and raw_word_count is not null
   when render_note <> '' then 'standard HTTP (' || render_note || ')' else 'standard HTTP' end"""
 
 
-@query("render_gap", o(GAP + "last_ as (select 1) select url, array_to_string(list_transform(missing, lambda x: x.short), '|') as shorts, array_to_string(list_transform(missing, lambda x: x.detailed), '|') as details from gap"), CAPS)
+@query("render_gap", o(GAP + "@select url, array_to_string(list_transform(missing, lambda x: x.short), '|') as shorts, array_to_string(list_transform(missing, lambda x: x.detailed), '|') as details from gap"), CAPS)
 def _(spark, sf):
     return render.render_gaps(standard(spark, sf), rendered(spark, sf)).select(
         "url", joined(F.transform("js_missing", lambda m: m["short"])).alias("shorts"),
         joined(F.transform("js_missing", lambda m: m["detailed"])).alias("details"))
 
 
-@query("capture_resolve", o(GAP + "last_ as (select 1) select url, ok, error, cast(status_code as int) as status_code, fetch_method, cast(raw_word_count as int) as raw_word_count, cast(word_count as int) as word_count, cast(len(missing) as int) as n_missing, render_note from page"), CAPS)
+@query("capture_resolve", o(GAP + "@select url, ok, error, cast(status_code as int) as status_code, fetch_method, cast(raw_word_count as int) as raw_word_count, cast(word_count as int) as word_count, cast(len(missing) as int) as n_missing, render_note from page"), CAPS)
 def _(spark, sf):
     return resolved(spark, sf).select("url", "ok", "error", "status_code", "fetch_method", "raw_word_count", "word_count",
                                       F.size("js_missing").alias("n_missing"), "render_note")
 
 
-@query("fetch_method_text", o(GAP + f"last_ as (select 1) select url, {METHOD} as how from page"), CAPS)
+@query("fetch_method_text", o(GAP + f"@select url, {METHOD} as how from page"), CAPS)
 def _(spark, sf):
     return resolved(spark, sf).select("url", render.fetch_method_text().alias("how"))
 
@@ -408,28 +411,28 @@ def found(spark, sf, pages, limit=fv.MAX_CANDIDATES):
     return discovery.page_candidates(discovery.home_pages(sites(spark, sf), pages), limit)
 
 
-@query("page_candidates_links", o(GAP + CAND + "last_ as (select 1) select site_url, page_type, cast(rank as int) as rank, url from cand where source = 'link'"), VW)
+@query("page_candidates_links", o(GAP + CAND + "@select site_url, page_type, cast(rank as int) as rank, url from cand where source = 'link'"), VW)
 def _(spark, sf):
     return found(spark, sf, resolved(spark, sf), None).filter("source = 'link'").select("site_url", "page_type", "rank", "url")
 
 
-@query("page_candidates_paths", o(GAP + CAND + "last_ as (select 1) select site_url, page_type, cast(rank as int) as rank, url from cand where source = 'path'"), VW)
+@query("page_candidates_paths", o(GAP + CAND + "@select site_url, page_type, cast(rank as int) as rank, url from cand where source = 'path'"), VW)
 def _(spark, sf):
     return found(spark, sf, resolved(spark, sf), None).filter("source = 'path'").select("site_url", "page_type", "rank", "url")
 
 
-@query("page_candidates_top6", o(GAP + CAND + "last_ as (select 1) select site_url, page_type, cast(rank as int) as rank, source, url from cand where rank <= 6"), VW)
+@query("page_candidates_top6", o(GAP + CAND + "@select site_url, page_type, cast(rank as int) as rank, source, url from cand where rank <= 6"), VW)
 def _(spark, sf):
     return found(spark, sf, resolved(spark, sf)).select("site_url", "page_type", "rank", "source", "url")
 
 
-@query("page_discover", o(GAP + CAND + "last_ as (select 1) select site_url, page_type, ok, page_url from disc"), VW)
+@query("page_discover", o(GAP + CAND + "@select site_url, page_type, ok, page_url from disc"), VW)
 def _(spark, sf):
     pages = resolved_table(spark, sf)
     return discovery.page_discover(found(spark, sf, pages), pages).select("site_url", "page_type", "ok", "page_url")
 
 
-@query("page_missing", o(GAP + CAND + "last_ as (select 1) select site_url, page_type, page_url as requested_url, error from disc where not ok"), VW)
+@query("page_missing", o(GAP + CAND + "@select site_url, page_type, page_url as requested_url, error from disc where not ok"), VW)
 def _(spark, sf):
     pages = resolved_table(spark, sf)
     return discovery.page_missing(discovery.page_discover(found(spark, sf, pages), pages))
@@ -457,14 +460,14 @@ lp as (select sp.*, site_ord * 10 + type_ord as page_ord, layer from sp cross jo
 
 
 @query("site_page_matrix", o(SITE_PAGES + """
-last_ as (select 1) select audit_id, role, site_url, max(s) filter (page_type = 'home') as home, max(s) filter (page_type = 'pricing') as pricing, max(s) filter (page_type = 'compare') as compare,
+@select audit_id, role, site_url, max(s) filter (page_type = 'home') as home, max(s) filter (page_type = 'pricing') as pricing, max(s) filter (page_type = 'compare') as compare,
   max(s) filter (page_type = 'contact_sales') as contact_sales, max(s) filter (page_type = 'signup') as signup
 from (select *, case when ok then requested_url else 'missing' end as s from sp) q group by audit_id, role, site_url"""), VW)
 def _(spark, sf):
     return discovery.site_page_matrix(pages_of_audits(spark, sf))
 
 
-@query("layer_pages", o(SITE_PAGES + "last_ as (select 1) select audit_id, cast(layer as int) as layer, cast(page_ord as int) as page_ord, label, requested_url from lp"), VW)
+@query("layer_pages", o(SITE_PAGES + "@select audit_id, cast(layer as int) as layer, cast(page_ord as int) as page_ord, label, requested_url from lp"), VW)
 def _(spark, sf):
     return discovery.layer_pages(pages_of_audits(spark, sf)).select("audit_id", "layer", "page_ord", "label", "requested_url")
 
@@ -505,7 +508,7 @@ jsf as (select audit_id, layer, observed, why, hypothesis, {_q(fv.JS_NOTES, kind
 """
 
 
-@query("js_findings", o(JS_SQL + "last_ as (select 1) select audit_id, cast(layer as int) as layer, observed, why, hypothesis, notes from jsf"), VW)
+@query("js_findings", o(JS_SQL + "@select audit_id, cast(layer as int) as layer, observed, why, hypothesis, notes from jsf"), VW)
 def _(spark, sf):
     return findings.js_findings(pages_of_audits(spark, sf))
 
@@ -520,12 +523,12 @@ fmn as (select audit_id, layer, '**Page fetch methods (local snapshots):**' || c
 """
 
 
-@query("fetch_log", o(SITE_PAGES + LOG_SQL + "last_ as (select 1) select audit_id, cast(line_ord as int) as line_ord, line from flog"), VW)
+@query("fetch_log", o(SITE_PAGES + LOG_SQL + "@select audit_id, cast(line_ord as int) as line_ord, line from flog"), VW)
 def _(spark, sf):
     return findings.fetch_log(pages_of_audits(spark, sf))
 
 
-@query("fetch_methods_note", o(SITE_PAGES + NOTE_SQL + "last_ as (select 1) select audit_id, cast(layer as int) as layer, methods_note from fmn"), VW)
+@query("fetch_methods_note", o(SITE_PAGES + NOTE_SQL + "@select audit_id, cast(layer as int) as layer, methods_note from fmn"), VW)
 def _(spark, sf):
     return findings.fetch_methods_note(pages_of_audits(spark, sf))
 
@@ -536,7 +539,7 @@ faq as (select audit_id, string_agg('- ' || label || ' (' || requested_url || ')
 """
 
 
-@query("faq_check_lines", o(SITE_PAGES + FAQ_SQL + "last_ as (select 1) select audit_id, faq_lines from faq"), VW)
+@query("faq_check_lines", o(SITE_PAGES + FAQ_SQL + "@select audit_id, faq_lines from faq"), VW)
 def _(spark, sf):
     return findings.faq_check_lines(pages_of_audits(spark, sf))
 
@@ -559,14 +562,14 @@ snap as (select audit_id, role, site_url, site_ord, type_ord, label, requested_u
 """
 
 
-@query("snapshot_markdown", o(SITE_PAGES + SNAP_SQL + "last_ as (select 1) select audit_id, label, snapshot from snap"), VW)
+@query("snapshot_markdown", o(SITE_PAGES + SNAP_SQL + "@select audit_id, label, snapshot from snap"), VW)
 def _(spark, sf):
     return pages_of_audits(spark, sf).select("audit_id", "label", findings.snapshot_markdown().alias("snapshot"))
 
 
 # ---- layer measures -----------------------------------------------------------------------------
 @query("primary_competing_ctas", o("""
-last_ as (select 1) select url, cta_texts[1] as primary_cta, array_to_string(cta_texts[2:], '|') as competing, cast(greatest(len(cta_texts) - 1, 0) as int) as n_competing,
+@select url, cta_texts[1] as primary_cta, array_to_string(cta_texts[2:], '|') as competing, cast(greatest(len(cta_texts) - 1, 0) as int) as n_competing,
   case when len(cta_texts) > 0 then (len(cta_texts) - 1) / len(cta_texts) else 0.0 end as dilution from feat where mode = 'rendered'"""), CAPS)
 def _(spark, sf):
     return layers.primary_competing_ctas(rendered(spark, sf).filter("ok")).select(
@@ -574,7 +577,7 @@ def _(spark, sf):
 
 
 @query("friction_signals", o("""
-last_ as (select 1) select url, cast(len(forms) * 3 as int) as visible_fields, cast(len(forms) as int) as required_fields, len(prices) = 0 as no_price, len(ctas) = 0 as no_cta, word_count < 150 as very_low_text,
+@select url, cast(len(forms) * 3 as int) as visible_fields, cast(len(forms) as int) as required_fields, len(prices) = 0 as no_price, len(ctas) = 0 as no_cta, word_count < 150 as very_low_text,
   cast(len(prices) = 0 as int) + cast(len(ctas) = 0 as int) + cast(word_count < 150 as int) as n_flags from feat where mode = 'rendered'"""), CAPS)
 def _(spark, sf):
     return layers.friction_signals(rendered(spark, sf).filter("ok"))
@@ -601,7 +604,7 @@ def _(spark, sf):
 
 
 @query("upfront_information", o("""
-last_ as (select 1) select url, cast(0 as bigint) as bank, cast(1 as bigint) as tax_id, cast(1 as bigint) as contact, cast(0 as bigint) as identity, cast(1 as bigint) as other, cast(1 as bigint) as required
+@select url, cast(0 as bigint) as bank, cast(1 as bigint) as tax_id, cast(1 as bigint) as contact, cast(0 as bigint) as identity, cast(1 as bigint) as other, cast(1 as bigint) as required
 from feat where mode = 'rendered' and len(forms) > 0"""), CAPS)
 def _(spark, sf):
     return layers.upfront_information(rendered(spark, sf).filter("ok"))

@@ -114,8 +114,10 @@ def page_features(captures: DataFrame) -> DataFrame:
     """Captures (both modes) to one feature row each. Columns nobody asks for are pruned after the parse."""
     classified = capture_classify(captures)
     parsed = page_tokenize(classified)
-    failed_text = F.when(F.col("mode") == "standard",
-                         F.concat(F.lit("Parse error: "), F.col("parse_error"))).otherwise(F.col("parse_error"))
+    # a rendered page's trouble is told in one short line
+    first_line = F.substring_index("parse_error", "\n", 1)
+    failed_text = F.when(F.col("mode") == "standard", F.concat(F.lit("Parse error: "), F.col("parse_error"))).otherwise(
+        F.left(first_line, F.locate(": ", first_line) + 1 + fv.ERROR_CHARS))
     nothing = F.array().cast(parsed.schema["elements"].dataType)
     pages = (parsed
              .withColumn("error", F.coalesce("error", failed_text))

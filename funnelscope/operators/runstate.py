@@ -108,10 +108,10 @@ def notes_upsert(notes: DataFrame) -> DataFrame:
 
 
 def edit_sessions(edits: DataFrame, gap_ms: int = fv.NOTE_SAVE_DELAY_MS, width: int = DEFAULT_BUCKET_US) -> DataFrame:
-    """One save per burst of edits: a pause longer than ``gap_ms`` ends a burst."""
+    """One save per burst of edits: a pause of ``gap_ms`` or more ends a burst, as a session window does."""
     keys = ["audit_id", "layer"]
     rows = session_starts(edits.withColumn("_us", micros(F.col("saved_at"))), keys, "_us", ["event_id"],
-                          lambda before, now: now - before > gap_ms * 1000, "_start", width)
+                          lambda before, now: now - before >= gap_ms * 1000, "_start", width)
     start = F.timestamp_micros("_start").cast(edits.schema["saved_at"].dataType)
     return rows.groupBy(*keys, start.alias("session_start")).agg(
         F.max("saved_at").alias("last_edit"), F.count(F.lit(1)).alias("edits"),
