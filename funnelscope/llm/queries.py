@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import bpe
+from funnelscope.llm import bpe, pii
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text."""
+    spans = F.col("personal_spans")
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", *[pii.count_of(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.listed(spans, pii.BASE_KINDS), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with the public rank file, and its ids decoded again."""
     path = public_tokenizers.path(RANK_FILE)
@@ -24,6 +32,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_personal_data": op2_personal_data,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE: dict[str, str] = {}
