@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import bpe, pii
+from funnelscope.llm import bpe, html_text, pii
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    text = F.col("main_text.text")
+    return html_text.main_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.col("main_text.path").alias("path"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every text."""
     spans = F.col("personal_spans")
@@ -32,6 +39,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_personal_data": op2_personal_data,
     "op9_byte_bpe": op9_byte_bpe,
 }
