@@ -15,7 +15,7 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 def with_labels(documents: DataFrame, labels: DataFrame, label_col: str, learn: Column | None = None, most_rows: int | None = None,
                 doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label int) of the documents that have a label 0 or 1.
+    """(labelled_id, text, label int) of the documents that have a label 0 or 1.
 
     ``learn`` says which label rows count; of rows repeated for one id the larger label does. With ``most_rows`` only
     that many ids are taken, those with the smallest hashes: a bounded sample that does not depend on the partitioning.
@@ -28,4 +28,4 @@ def with_labels(documents: DataFrame, labels: DataFrame, label_col: str, learn:
     small = most_rows is not None and most_rows <= BROADCAST_ROWS or chosen.count() <= BROADCAST_ROWS
     chosen = F.broadcast(chosen) if small else chosen
     return (documents.select(F.col(doc_id).alias("labelled_id"), F.col(text_col).alias("text"))
-            .join(chosen, "labelled_id").select("text", "label"))
+            .join(chosen, "labelled_id").select("labelled_id", "text", "label"))

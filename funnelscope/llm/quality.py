@@ -138,7 +138,7 @@ def learned(documents: DataFrame, labels: DataFrame, label_col: str = "quality",
             most_rows: int = MOST_ROWS, doc_id: str = "doc_id", text_col: str = "text") -> Machine:
     """Fit on at most ``most_rows`` labelled rows; only their features reach the driver."""
     sample = with_labels(documents, labels, label_col, learn, most_rows, doc_id, text_col)
-    rows = sample.mapInArrow(_features_of, "label int, places binary, value binary").toArrow()
+    rows = sample.select("text", "label").mapInArrow(_features_of, "label int, places binary, value binary").toArrow()
     rows = rows.take(np.argsort([hash_of(p) for p in rows.column("places").to_pylist()], kind="stable"))  # not by partition
     places = [np.frombuffer(x, np.int32) for x in rows.column("places").to_pylist()]
     first = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int64)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import bpe, html_text, pii
+from funnelscope.llm import bpe, html_text, pii, quality, toxicity
+from funnelscope.llm.labelled import remainder
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -29,6 +30,15 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(spans, pii.BASE_KINDS), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text; learned from the label rows whose remainder by 3 is not 1."""
+    documents, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 3) == 1
+    judge = toxicity.learned(documents, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    score = F.col("toxicity_score")
+    return toxicity.score_texts(documents, judge).select(
+        "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with the public rank file, and its ids decoded again."""
     path = public_tokenizers.path(RANK_FILE)
@@ -38,9 +48,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text; learned from label rows whose remainder by 5 is not 0."""
+    documents, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 5) == 0
+    machine = quality.learned(documents, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    score = F.col("quality_score")
+    return quality.score_texts(documents, machine).select(
+        "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_personal_data": op2_personal_data,
+    "op6_toxicity": op6_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}

@@ -1,19 +1,21 @@
-"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary text.
+"""Toxicity by two Kneser-Ney models of how words are written, one of toxic and one of ordinary text.
 
-For class ``c`` and word ``w`` after ``h``, with absolute discounts and counts of distinct neighbours (continuations):
+A word (lower-cased A-Z) is a run of symbols between word ends; the models predict each symbol, and the end, from the four
+symbols before it inside the word, so inflected and rare expressions share the counts of what they are built from. For
+class ``c``, symbol ``w``, context ``h4`` and its last two and one symbols ``h2``, ``h1``:
 
-    P_c(w | h) = max(n_c(h w) - D, 0) / n_c(h) + D t_c(h) / n_c(h) * P_c(w)          t: distinct words after h
-    P_c(w)     = max(k_c(w) - D, 0) / K_c + D v_c / K_c * P(w)                       k: distinct words before w
-    P(w)       = (k(w) + 1) / (K + cells)                                            shared by the classes
+    P_c(w | h4) = max(n_c(h4 w) - D, 0) / n_c(h4) + D t_c(h4) / n_c(h4) * P_c(w | h2)     t: distinct symbols after h4
+    P_c(w | h2) = max(k_c(h2 w) - D, 0) / k_c(h2) + D u_c(h2) / k_c(h2) * P(w | h1)       k: distinct contexts h4 of (h2, w)
+    P(w | h1)   = (distinct symbols before (h1, w), over both classes, + 1 / 64) / their sum
 
-so a rare expression that neither class has seen counts the same for both. A text's evidence is the mean over its words of
-``log P_toxic - log P_ordinary``: it does not grow with length. A logistic curve fitted to the labelled rows' evidence,
-each without its own counts (leave one out), turns it into a score.
+The lowest level is shared by the classes, so what neither has seen counts the same for both. A text's evidence is the mean
+over its words of ``log P_toxic - log P_ordinary`` (and over ``PRIOR_WORDS`` without evidence): it does not grow with length. A logistic curve turns it into a score; the
+curve is fitted to the evidence of all labelled rows, each judged by counts without its own.
 
-Words (lower-cased A-Z) are hashed: pairs into ``2^PAIR_BITS`` cells, words into ``2^WORD_BITS``. The counts are taken over
-every labelled row, in Spark, and what is gathered grows with the labelled text until the cells are in use; the tables'
-size (about 25 MB broadcast) is fixed by the parameters, not by the data. A count of distinct neighbours is the sum over
-occurrences of one over the pair's count, which needs no list of pairs.
+Bytes map to 64 symbols and contexts of four to ``2^CONTEXT_BITS`` rows. The counts are taken over all labelled rows,
+in Spark, and what is gathered grows with the labelled text until the rows are in use; the tables' size (34 MB broadcast)
+is fixed by these parameters, not by the data. The number of distinct contexts is the sum over occurrences of one over the
+n-gram's count, which needs no list of n-grams.
 
 Null and empty texts have evidence 0. Repeated rows get equal scores. With one label only, or none, the score is the
 share of label 1 (0.5 without labels). Other columns stay.
@@ -31,68 +33,106 @@ from funnelscope.llm import hashing
 from funnelscope.llm.labelled import with_labels
 from funnelscope.llm.store import written
 
-PAIR_BITS, WORD_BITS = 21, 17
-PAIRS, WORDS = 1 << PAIR_BITS, 1 << WORD_BITS
+CONTEXT_BITS = 16
+CONTEXTS, PAIRS, SYMBOLS = 1 << CONTEXT_BITS, 1 << 12, 64
 BLOCK = 1 << 13
 DISCOUNT = 0.75
-BEGIN = np.uint64(0x5851F42D4C957F2D)   # stands for the word before the first
-EVIDENCE_BINS, EVIDENCE_RANGE = 4000, 4.0
+EVIDENCE_BINS, EVIDENCE_RANGE = 4000, 1.5   # evidence beyond the range counts as its end
+PRIOR_WORDS = 8      # words without evidence that every text is taken to have, so that one odd word does not decide a short text
+END = 26
+# Symbols: letters, word end, digits, four kinds of marks, and bytes beyond ASCII by their low five bits.
+SYMBOL = np.arange(256, dtype=np.int64)
+SYMBOL[128:] = 32 + (SYMBOL[128:] & 31)
+SYMBOL[:128] = 28 + (SYMBOL[:128] & 3)
+SYMBOL[97:123] = np.arange(26)
+SYMBOL[48:58] = 27
 
 
-class Cells:
-    """Cells of all words of a column: the text, the pair's cell, the word before, the word."""
+class Written:
+    """The distinct words of a column as symbols with their contexts, and the words of each text.
+
+    ``of``: the text of each word; ``which``: its distinct word; ``size``: words of each text; for each predicted symbol
+    ``word`` (distinct word), ``row`` (four symbols before), ``pair`` (two symbols before) and ``next`` (the symbol).
+    """
 
     def __init__(self, column: pa.Array):
         words = hashing.Words(hashing.Texts(column, lower=True))
-        hashes, first = words.hashes(), words.first
-        before = np.empty_like(hashes)
-        before[1:] = hashes[:-1]
-        before[first[:-1][first[:-1] < len(hashes)]] = BEGIN
         self.texts, self.size = len(column), words.counts()
         self.of = np.repeat(np.arange(len(column)), self.size)
-        self.pair = (hashing.mixed(before * hashing.BASE + hashes) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-        self.before = (before >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        self.word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        _, first, self.which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        starts, lengths = words.starts[first], (words.ends - words.starts)[first]
+        self.words = len(first)
+        begin = np.concatenate([[0], np.cumsum(lengths + 5)])
+        symbols = np.full(begin[-1], END, np.int64)
+        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbols[np.repeat(begin[:-1] + 4, lengths) + inside] = SYMBOL[words.data[np.repeat(starts, lengths) + inside]]
+        at = np.arange(begin[-1]) - np.repeat(begin[:-1], lengths + 5) >= 4
+        at = np.flatnonzero(at)
+        self.word = np.repeat(np.arange(self.words), lengths + 1)
+        self.next = symbols[at]
+        self.pair = symbols[at - 1] | symbols[at - 2] << 6
+        four = self.pair | symbols[at - 3] << 12 | symbols[at - 4] << 18
+        self.row = (four * 2654435761 & 0xFFFFFFFF) >> (32 - CONTEXT_BITS)
+
+    def times(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each distinct word stands in the chosen texts."""
+        return np.bincount(self.which[chosen[self.of]], minlength=self.words)
 
 
 class Models:
-    """Both classes' tables: ``pairs[c]``, ``total[c]`` and ``after[c]`` by the word before, ``preceded[c]`` by the word."""
-
-    def __init__(self, pairs: np.ndarray, total: np.ndarray, after: np.ndarray, preceded: np.ndarray):
-        self.pairs, self.total, self.after, self.preceded = pairs, total, after, preceded
-        self.shared = preceded.sum(0, dtype=np.float64)
-        self.shared = (self.shared + 1) / (self.shared.sum() + WORDS)
-
-    def evidence(self, cells: Cells, own: np.ndarray | None = None) -> np.ndarray:
-        """Mean log ratio of each text; ``own[i]`` is the class whose counts include text ``i``, which are taken out."""
-        logs = []
+    """Both classes' tables: ``grams[c]`` by row and symbol, ``contexts[c]`` by pair and symbol."""
+
+    def __init__(self, grams: np.ndarray, contexts: np.ndarray):
+        self.grams, self.contexts = grams.reshape(2, CONTEXTS, SYMBOLS), contexts.reshape(2, PAIRS, SYMBOLS)
+        self.total, self.after = self.grams.sum(2), (self.grams > 0).sum(2)
+        self.pair_total, self.pair_after = self.contexts.sum(2), (self.contexts > 0).sum(2)
+        before = (self.contexts.sum(0).reshape(64, 64, SYMBOLS) > 0).sum(0)
+        self.shared = (before + 1 / SYMBOLS) / (before.sum(1, keepdims=True) + 1)
+
+    def word_evidence(self, text: Written, own: int | None = None) -> np.ndarray:
+        """``log P_toxic - log P_ordinary`` of each distinct word; without the text's own counts in the class ``own``."""
+        lowest, logs = self.shared[text.pair & 63, text.next], []
         for c in (0, 1):
-            pair = self.pairs[c][cells.pair].astype(np.float64)
-            total = self.total[c][cells.before].astype(np.float64)
-            after = self.after[c][cells.before].astype(np.float64)
-            preceded = self.preceded[c][cells.word].astype(np.float64)
-            if own is not None and len(pair):
-                mine = own[cells.of] == c
-                part = np.where(mine, 1 / np.maximum(pair, 1), 0)  # this text's share in the pair's existence
-                pair = pair - repeated(cells.of, cells.pair, mine.astype(np.float64))
-                total = total - repeated(cells.of, cells.before, mine.astype(np.float64))
-                after = after - repeated(cells.of, cells.before, part)
-                preceded = preceded - repeated(cells.of, cells.word, part)
-            low = np.maximum(preceded - DISCOUNT, 0)
-            every, kinds = self.preceded[c].sum(dtype=np.float64), np.count_nonzero(self.preceded[c])
-            unigram = (low + DISCOUNT * kinds * self.shared[cells.word]) / every if every > 0 else self.shared[cells.word]
-            seen = total > 0
-            total = np.where(seen, total, 1)
-            rest = np.clip(DISCOUNT * after / total, 1e-6, 1)
-            logs.append(np.log(np.where(seen, np.maximum(pair - DISCOUNT, 0) / total + rest * unigram, unigram)))
-        ratio = np.bincount(cells.of, logs[1] - logs[0], minlength=cells.texts) if len(cells.of) else np.zeros(cells.texts)
-        return ratio / np.maximum(cells.size, 1)
-
-
-def repeated(of: np.ndarray, cell: np.ndarray, amount: np.ndarray) -> np.ndarray:
-    """For each word, the sum of ``amount`` over the words of its text in the same cell."""
-    _, at = np.unique(of << 32 | cell, return_inverse=True)
-    return np.bincount(at, amount)[at]
+            gram, total, after = self.grams[c][text.row, text.next], self.total[c][text.row], self.after[c][text.row]
+            context, pair_total = self.contexts[c][text.pair, text.next], self.pair_total[c][text.pair]
+            if c == own:
+                keys, first, at = np.unique(text.row * SYMBOLS + text.next, return_index=True, return_inverse=True)
+                times = np.bincount(text.which, minlength=text.words)[text.word]
+                mine = np.bincount(at, times)
+                lost = (mine >= gram[first]).astype(np.float64)  # n-grams that only this text has
+                of_row, of_pair = np.unique(keys >> 6, return_inverse=True)[1], np.unique(text.pair[first], return_inverse=True)[1]
+                of_context = np.unique(text.pair[first] * SYMBOLS + text.next[first], return_inverse=True)[1]
+                gram, total = gram - mine[at], total - np.bincount(of_row, mine)[of_row][at]
+                after = after - np.bincount(of_row, lost)[of_row][at]
+                context = context - np.bincount(of_context, lost)[of_context][at]
+                pair_total = pair_total - np.bincount(of_pair, lost)[of_pair][at]
+            some = np.maximum(pair_total, 1e-9)
+            rest = np.where(pair_total > 0.5, np.minimum(DISCOUNT * self.pair_after[c][text.pair] / some, 1), 1)
+            middle = np.where(pair_total > 0.5, np.maximum(context - DISCOUNT, 0) / some, 0) + rest * lowest
+            some = np.maximum(total, 1e-9)
+            rest = np.where(total > 0.5, np.minimum(DISCOUNT * np.maximum(after, 1) / some, 1), 1)
+            logs.append(np.log(np.where(total > 0.5, np.maximum(gram - DISCOUNT, 0) / some, 0) + rest * middle))
+        return np.bincount(text.word, logs[1] - logs[0], text.words) if text.words else np.zeros(0)
+
+    def evidence_without_own(self, column: pa.Array, labels: np.ndarray) -> np.ndarray:
+        """Evidence of texts that the counts include, each by counts without its own."""
+        out = np.zeros(len(column))
+        for i, label in enumerate(labels):
+            text = Written(column.slice(i, 1))
+            if text.words:
+                out[i] = bounded(self.word_evidence(text, int(label))[text.which].sum(), len(text.which))
+        return out
+
+    def evidence(self, text: Written) -> np.ndarray:
+        """Mean over the words of each text."""
+        if not text.words:
+            return np.zeros(text.texts)
+        return bounded(np.bincount(text.of, self.word_evidence(text)[text.which], text.texts), text.size)
+
+
+def bounded(total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Mean evidence over the words, with the prior words, within the range."""
+    return np.clip(total / (words + PRIOR_WORDS), -EVIDENCE_RANGE, EVIDENCE_RANGE)
 
 
 def _emitted(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +150,7 @@ def _emitted(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 SUMS = "name string, class int, block int, sums binary"
 
 
-def _added(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One block of one table: the sum over all tasks, one batch at a time."""
     total = None
     for batch in batches:
@@ -137,7 +177,7 @@ class Judge:
         self.models, self.offset, self.slope = models, offset, slope
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        evidence = self.models.evidence(Cells(column))
+        evidence = self.models.evidence(Written(column))
         return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * evidence, -30, 30)))
 
 
@@ -161,61 +201,60 @@ def fitted_curve(counts: np.ndarray, steps: int = 60) -> tuple[float, float]:
 
 def learned(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: Column | None = None,
             doc_id: str = "doc_id", text_col: str = "text") -> Judge:
-    """Count over all labelled rows that ``learn`` lets through, then fit the curve to all of them."""
+    """Count over the labelled rows that ``learn`` lets through, then fit the curve to all of them."""
     spark = documents.sparkSession
-    rows = written(with_labels(documents, labels, label_col, learn, None, doc_id, text_col), "toxic-labelled")
+    rows = written(with_labels(documents, labels, label_col, learn, None, doc_id, text_col).drop("labelled_id"), "toxic-labelled")
 
-    def pair_counts(batches):
-        pairs = np.zeros((2, PAIRS), np.float32)
+    def gram_counts(batches):
+        grams = np.zeros((2, CONTEXTS * SYMBOLS), np.float32)
         for batch in batches:
             for part in hashing.slices(batch, "text"):
-                cells, label = Cells(part.column("text")), part.column("label").to_numpy(zero_copy_only=False)
+                text, label = Written(part.column("text")), part.column("label").to_numpy(zero_copy_only=False)
                 for c in (0, 1):
-                    pairs[c] += np.bincount(cells.pair[label[cells.of] == c], minlength=PAIRS).astype(np.float32)
-        yield from _emitted({"pairs": pairs})
+                    np.add.at(grams[c], text.row * SYMBOLS + text.next, text.times(label == c)[text.word].astype(np.float32))
+        yield from _emitted({"grams": grams})
 
-    pairs = _gathered(rows.mapInArrow(pair_counts, SUMS), {"pairs": PAIRS})["pairs"]
-    shared_pairs = spark.sparkContext.broadcast(pairs)
+    grams = _gathered(rows.mapInArrow(gram_counts, SUMS), {"grams": CONTEXTS * SYMBOLS})["grams"]
+    shared_grams = spark.sparkContext.broadcast(grams)
 
-    def neighbour_counts(batches):
-        pairs, sums = shared_pairs.value, {name: np.zeros((2, WORDS)) for name in ("total", "after", "preceded")}
+    def context_counts(batches):
+        grams, contexts = shared_grams.value, np.zeros((2, PAIRS * SYMBOLS))
         for batch in batches:
             for part in hashing.slices(batch, "text"):
-                cells, label = Cells(part.column("text")), part.column("label").to_numpy(zero_copy_only=False)
+                text, label = Written(part.column("text")), part.column("label").to_numpy(zero_copy_only=False)
                 for c in (0, 1):
-                    mine = label[cells.of] == c
-                    before, word, share = cells.before[mine], cells.word[mine], 1 / np.maximum(pairs[c][cells.pair[mine]], 1)
-                    sums["total"][c] += np.bincount(before, minlength=WORDS)
-                    sums["after"][c] += np.bincount(before, share, WORDS)
-                    sums["preceded"][c] += np.bincount(word, share, WORDS)
-        yield from _emitted(sums)
+                    share = text.times(label == c)[text.word] / np.maximum(grams[c][text.row * SYMBOLS + text.next], 1)
+                    contexts[c] += np.bincount(text.pair * SYMBOLS + text.next, share, PAIRS * SYMBOLS)
+        yield from _emitted({"contexts": contexts})
 
-    models = Models(pairs, **_gathered(rows.mapInArrow(neighbour_counts, SUMS), {n: WORDS for n in ("total", "after", "preceded")}))
-    shared_models = spark.sparkContext.broadcast((models.pairs, models.total, models.after, models.preceded))
+    contexts = _gathered(rows.mapInArrow(context_counts, SUMS), {"contexts": PAIRS * SYMBOLS})["contexts"]
+    shared_models = spark.sparkContext.broadcast((grams, contexts))
 
     def evidence_counts(batches):
         models, counts = Models(*shared_models.value), np.zeros((2, EVIDENCE_BINS))
         for batch in batches:
             for part in hashing.slices(batch, "text"):
                 label = part.column("label").to_numpy(zero_copy_only=False)
-                x = models.evidence(Cells(part.column("text")), label)
-                at = np.clip((x + EVIDENCE_RANGE) / (2 * EVIDENCE_RANGE) * EVIDENCE_BINS, 0, EVIDENCE_BINS - 1).astype(np.int64)
-                np.add.at(counts, (label, at), 1)
+                np.add.at(counts, (label, evidence_bin(models.evidence_without_own(part.column("text"), label))), 1)
         yield from _emitted({"evidence": counts})
 
     counts = _gathered(rows.mapInArrow(evidence_counts, SUMS), {"evidence": EVIDENCE_BINS})["evidence"]
-    return Judge(models, *fitted_curve(counts.astype(np.float64)))
+    return Judge(Models(grams, contexts), *fitted_curve(counts.astype(np.float64)))
+
+
+def evidence_bin(x: np.ndarray) -> np.ndarray:
+    return np.clip((x + EVIDENCE_RANGE) / (2 * EVIDENCE_RANGE) * EVIDENCE_BINS, 0, EVIDENCE_BINS - 1).astype(np.int64)
 
 
 def scorer(spark: SparkSession, judge: Judge):
     """A column function: text to its score; the broadcast models have the size their bits give, whatever the data."""
     m = judge.models
-    shared = spark.sparkContext.broadcast((m.pairs, m.total, m.after, m.preceded, judge.offset, judge.slope))
+    shared = spark.sparkContext.broadcast((m.grams, m.contexts, judge.offset, judge.slope))
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        *tables, offset, slope = shared.value
-        task = Judge(Models(*tables), offset, slope)
+        grams, contexts, offset, slope = shared.value
+        task = Judge(Models(grams, contexts), offset, slope)
         for texts in batches:
             whole = pa.RecordBatch.from_arrays([texts], ["text"])
             parts = [task.scores(part.column("text")) for part in hashing.slices(whole, "text")]
