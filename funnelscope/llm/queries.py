@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import bpe, html_text, pii, quality, toxicity
+from funnelscope.llm import bpe, html_text, mixing, pii, quality, simhash, toxicity
 from funnelscope.llm.labelled import remainder
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,13 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(spans, pii.BASE_KINDS), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"),
+        simhash.as_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text; learned from the label rows whose remainder by 3 is not 1."""
     documents, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 3) == 1
@@ -39,6 +46,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's rate draws it, in global random order."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), numbered=True)
+    return mixed.select("doc_id", "source", "text", "copy", "mix_position")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with the public rank file, and its ids decoded again."""
     path = public_tokenizers.path(RANK_FILE)
@@ -60,8 +73,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_personal_data": op2_personal_data,
+    "op4_simhash": op4_simhash,
     "op6_toxicity": op6_toxicity,
+    "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
+
+# The rates and counts of op8 in DuckDB: sizes per source, their powers as weights, Poisson distributions, hashed uniforms.
+ORACLE: dict[str, str] = {
+    "op8_mixing": """
+with sizes as (
+    select coalesce(source, '') as s, sum(coalesce(length(text), 0))::double as size from documents group by 1),
+rates as (
+    select s, case when size > 0 then pow(size, 0.7) * ((sum(size) over ()) / (sum(case when size > 0 then pow(size, 0.7) else 0 end) over ()))
+        / size else 0 end as rate from sizes),
+steps as (
+    select s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::int + 1)) as k from rates where rate > 0),
+curve as (
+    select s, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) over (partition by s order by k) as p from steps),
+drawn as (
+    select row_number() over () as r, doc_id, source, text, coalesce(source, '') as s,
+        ('0x' || md5('17/' || coalesce(doc_id::varchar, ''))[1:13])::bigint / 4503599627370496.0 as u from documents),
+counted as (
+    select d.r, d.doc_id, d.source, d.text, count(*)::int as copies from drawn d join curve c on c.s = d.s and c.p <= d.u group by all),
+copied as (
+    select doc_id, source, text, unnest(range(1, copies + 1))::int as copy from counted)
+select doc_id, source, text, copy,
+    ('0x' || md5('18/' || coalesce(doc_id::varchar, '') || '/' || copy)[1:13])::bigint / 4503599627370496.0 as mix_position
+from copied""",
+}
