@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import bpe, html_text, mixing, pii, quality, simhash, toxicity
+from funnelscope.llm import ann, bpe, html_text, mixing, pii, quality, simhash, toxicity
 from funnelscope.llm.labelled import remainder
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -46,6 +46,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ann.index(vectors, k=5)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann.search(found, F.col("vec_id") % 50 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as its source's rate draws it, in global random order."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), numbered=True)
@@ -75,6 +84,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_simhash": op4_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_nearest": op7_nearest,
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
