@@ -13,8 +13,8 @@ over its words of ``log P_toxic - log P_ordinary`` (and over ``PRIOR_WORDS`` wit
 curve is fitted to the evidence of all labelled rows, each judged by counts without its own.
 
 Bytes map to 64 symbols and contexts of four to ``2^CONTEXT_BITS`` rows. The counts are taken over all labelled rows,
-in Spark, and what is gathered grows with the labelled text until the rows are in use; the tables' size (34 MB broadcast)
-is fixed by these parameters, not by the data. The number of distinct contexts is the sum over occurrences of one over the
+in Spark, and what is gathered grows with the labelled text until the rows are in use; the tables' size (36 MB, a few
+when packed for the broadcast) is fixed by these parameters, not by the data. The number of distinct contexts is the sum over occurrences of one over the
 n-gram's count, which needs no list of n-grams.
 
 Null and empty texts have evidence 0. Repeated rows get equal scores. With one label only, or none, the score is the
@@ -23,6 +23,8 @@ share of label 1 (0.5 without labels). Other columns stay.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,6 +132,15 @@ class Models:
         return bounded(np.bincount(text.of, self.word_evidence(text)[text.which], text.texts), text.size)
 
 
+def packed(*tables: np.ndarray) -> bytes:
+    """Tables for a broadcast: mostly zeros, so a few megabytes when compressed."""
+    return zlib.compress(pickle.dumps(tables), 1)
+
+
+def unpacked(tables: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(zlib.decompress(tables))
+
+
 def bounded(total: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Mean evidence over the words, with the prior words, within the range."""
     return np.clip(total / (words + PRIOR_WORDS), -EVIDENCE_RANGE, EVIDENCE_RANGE)
@@ -215,10 +226,10 @@ def learned(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", l
         yield from _emitted({"grams": grams})
 
     grams = _gathered(rows.mapInArrow(gram_counts, SUMS), {"grams": CONTEXTS * SYMBOLS})["grams"]
-    shared_grams = spark.sparkContext.broadcast(grams)
+    shared_grams = spark.sparkContext.broadcast(packed(grams))
 
     def context_counts(batches):
-        grams, contexts = shared_grams.value, np.zeros((2, PAIRS * SYMBOLS))
+        (grams,), contexts = unpacked(shared_grams.value), np.zeros((2, PAIRS * SYMBOLS))
         for batch in batches:
             for part in hashing.slices(batch, "text"):
                 text, label = Written(part.column("text")), part.column("label").to_numpy(zero_copy_only=False)
@@ -228,10 +239,11 @@ def learned(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", l
         yield from _emitted({"contexts": contexts})
 
     contexts = _gathered(rows.mapInArrow(context_counts, SUMS), {"contexts": PAIRS * SYMBOLS})["contexts"]
-    shared_models = spark.sparkContext.broadcast((grams, contexts))
+    shared_grams.destroy()
+    shared_models = spark.sparkContext.broadcast(packed(grams, contexts))
 
     def evidence_counts(batches):
-        models, counts = Models(*shared_models.value), np.zeros((2, EVIDENCE_BINS))
+        models, counts = Models(*unpacked(shared_models.value)), np.zeros((2, EVIDENCE_BINS))
         for batch in batches:
             for part in hashing.slices(batch, "text"):
                 label = part.column("label").to_numpy(zero_copy_only=False)
@@ -239,6 +251,7 @@ def learned(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", l
         yield from _emitted({"evidence": counts})
 
     counts = _gathered(rows.mapInArrow(evidence_counts, SUMS), {"evidence": EVIDENCE_BINS})["evidence"]
+    shared_models.destroy()
     return Judge(Models(grams, contexts), *fitted_curve(counts.astype(np.float64)))
 
 
@@ -249,12 +262,11 @@ def evidence_bin(x: np.ndarray) -> np.ndarray:
 def scorer(spark: SparkSession, judge: Judge):
     """A column function: text to its score; the broadcast models have the size their bits give, whatever the data."""
     m = judge.models
-    shared = spark.sparkContext.broadcast((m.grams, m.contexts, judge.offset, judge.slope))
+    shared, offset, slope = spark.sparkContext.broadcast(packed(m.grams, m.contexts)), judge.offset, judge.slope
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        grams, contexts, offset, slope = shared.value
-        task = Judge(Models(grams, contexts), offset, slope)
+        task = Judge(Models(*unpacked(shared.value)), offset, slope)
         for texts in batches:
             whole = pa.RecordBatch.from_arrays([texts], ["text"])
             parts = [task.scores(part.column("text")) for part in hashing.slices(whole, "text")]
