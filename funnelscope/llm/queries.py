@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import ann, bpe, html_text, mixing, pii, quality, simhash, toxicity
+from funnelscope.llm import ann, bpe, html_text, mixing, near_dup, pii, quality, repeats, simhash, toxicity
 from funnelscope.llm.labelled import remainder
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,11 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(spans, pii.BASE_KINDS), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every text: three-word shingles, similarity of 0.85 or more."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, similar=(85, 100))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents")).select(
@@ -37,6 +42,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.as_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words of passages of 35 words or more that stand anywhere else."""
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents"), window=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text; learned from the label rows whose remainder by 3 is not 1."""
     documents, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 3) == 1
@@ -82,7 +93,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_personal_data": op2_personal_data,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_simhash": op4_simhash,
+    "op5_repeats": op5_repeats,
     "op6_toxicity": op6_toxicity,
     "op7_nearest": op7_nearest,
     "op8_mixing": op8_mixing,
