@@ -29,6 +29,7 @@ PLACES = (1 << WORD_BITS) + STATISTICS * BINS
 STATISTIC_WEIGHT = 0.35
 FACTORS = 8
 MOST_ROWS = 12_000
+LEAST_STEPS = 400    # of fitting: few labelled rows are gone over more often, so that scores leave the share of label 1
 # Byte classes: 0 other letters and spaces, 1 capitals, 2 digits, 3 sentence marks, 4 symbols, 5 line ends, 6 non-ASCII, 7 table bars.
 CLASS = np.zeros(256, np.int64)
 CLASS[33:127] = 4
@@ -97,7 +98,7 @@ def fit(first: np.ndarray, places: np.ndarray, values: np.ndarray, labels: np.nd
     if n == 0 or share in (0, 1):
         return Machine(bias, weights, factors * 0)
     weight_scale, factor_scale, bias_scale = np.full(PLACES, 1e-4, np.float32), np.full((PLACES, FACTORS), 1e-2, np.float32), 1e-2
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // n))):
         order = random.permutation(n)
         for start in range(0, n, batch):
             rows = order[start:start + batch]
@@ -148,7 +149,7 @@ def learned(documents: DataFrame, labels: DataFrame, label_col: str = "quality",
 
 
 def hash_of(packed: bytes) -> int:
-    return int(np.frombuffer(packed, np.int32).astype(np.uint64).sum() * np.uint64(0x9E3779B97F4A7C15))
+    return int(np.frombuffer(packed, np.int32).astype(np.uint64).sum()) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
 
 
 def scorer(spark: SparkSession, machine: Machine):
