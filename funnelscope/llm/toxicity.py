@@ -8,8 +8,9 @@ class ``c``, symbol ``w``, context ``h4`` and its last two and one symbols ``h2`
     P_c(w | h2) = max(k_c(h2 w) - D, 0) / k_c(h2) + D u_c(h2) / k_c(h2) * P(w | h1)       k: distinct contexts h4 of (h2, w)
     P(w | h1)   = (distinct symbols before (h1, w), over both classes, + 1 / 64) / their sum
 
-The lowest level is shared by the classes, so what neither has seen counts the same for both. A text's evidence is the mean
-over its words of ``log P_toxic - log P_ordinary`` (and over ``PRIOR_WORDS`` without evidence): it does not grow with length. A logistic curve turns it into a score; the
+The lowest level is shared by the classes, so what neither has seen counts the same for both. A text's evidence is the log
+of the mean over its words of ``P_toxic / P_ordinary`` (and over ``PRIOR_WORDS`` words of ratio one): it does not grow with length, and a few
+plain expressions are not drowned by many ordinary words, as in a mean of logarithms. A logistic curve turns it into a score; the
 curve is fitted to the evidence of all labelled rows, each judged by counts without its own.
 
 Bytes map to 64 symbols and contexts of four to ``2^CONTEXT_BITS`` rows. The counts are taken over all labelled rows,
@@ -39,8 +40,9 @@ CONTEXT_BITS = 16
 CONTEXTS, PAIRS, SYMBOLS = 1 << CONTEXT_BITS, 1 << 12, 64
 BLOCK = 1 << 13
 DISCOUNT = 0.75
-EVIDENCE_BINS, EVIDENCE_RANGE = 4000, 1.5   # evidence beyond the range counts as its end
+EVIDENCE_BINS, EVIDENCE_RANGE = 4000, 8.0   # evidence beyond the range counts as its end
 PRIOR_WORDS = 8      # words without evidence that every text is taken to have, so that one odd word does not decide a short text
+MOST_OF_A_WORD = 6.0
 END = 26
 # Symbols: letters, word end, digits, four kinds of marks, and bytes beyond ASCII by their low five bits.
 SYMBOL = np.arange(256, dtype=np.int64)
@@ -122,14 +124,14 @@ class Models:
         for i, label in enumerate(labels):
             text = Written(column.slice(i, 1))
             if text.words:
-                out[i] = bounded(self.word_evidence(text, int(label))[text.which].sum(), len(text.which))
+                out[i] = bounded(ratio(self.word_evidence(text, int(label)))[text.which].sum(), len(text.which))
         return out
 
     def evidence(self, text: Written) -> np.ndarray:
-        """Mean over the words of each text."""
+        """Log of the mean ratio over the words of each text."""
         if not text.words:
             return np.zeros(text.texts)
-        return bounded(np.bincount(text.of, self.word_evidence(text)[text.which], text.texts), text.size)
+        return bounded(np.bincount(text.of, ratio(self.word_evidence(text))[text.which], text.texts), text.size)
 
 
 def packed(*tables: np.ndarray) -> bytes:
@@ -141,9 +143,14 @@ def unpacked(tables: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zlib.decompress(tables))
 
 
+def ratio(log_ratio: np.ndarray) -> np.ndarray:
+    """Likelihood ratios of words; one word counts for ``e^MOST_OF_A_WORD`` at most."""
+    return np.exp(np.minimum(log_ratio, MOST_OF_A_WORD))
+
+
 def bounded(total: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Mean evidence over the words, with the prior words, within the range."""
-    return np.clip(total / (words + PRIOR_WORDS), -EVIDENCE_RANGE, EVIDENCE_RANGE)
+    """Log of the mean ratio over the words, with the prior words, within the range."""
+    return np.clip(np.log((total + PRIOR_WORDS) / (words + PRIOR_WORDS)), -EVIDENCE_RANGE, EVIDENCE_RANGE)
 
 
 def _emitted(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
