@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from funnelscope.llm import hashing
-from funnelscope.llm.components import components
+from funnelscope.llm.components import merged
 from funnelscope.llm.store import written
 
 TREES, DEPTH, LEAST_PREFIX = 12, 6, 3
@@ -191,7 +191,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, similar: tuple[int, int] =
     wanted = written(wanted, "wanted")
     whole = written(texts.join(wanted, "id", "left_semi").where("text is not null"), "texts")
     trees = written(trees.join(wanted, "id", "left_semi"), "trees")
-    links, tried, labels = None, None, None
+    tried, labels = None, None
     rounds = iter(FIRST_ROUNDS)
     while True:
         chosen = next(rounds, None)
@@ -207,12 +207,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, similar: tuple[int, int] =
         new = written(_confirmed(pairs, whole, k, similar), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
+            labels = merged(labels, new)
         elif chosen is None:
             break
-    links = copies if links is None else links.unionByName(copies)
-    found = components(links)
+    found = merged(labels, copies)
     component = F.coalesce("component", "id")
     return (sets.join(found, "id", "left")
             .select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
