@@ -45,8 +45,12 @@ cta0 as (select url, mode, ord, text, case when coalesce(href, '') <> '' then te
     row_number() over (partition by url, mode, lower(text) order by ord) as nth
   from ab where text <> '' and length(text) <= 60 and regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(""" + fv.CTA_WORDS + """)($|[^\\p{L}\\p{N}_])')),
 cta as (select url, mode, entry, text, row_number() over (partition by url, mode order by ord) as k from cta0 where nth = 1),
-ctas as (select url, mode, list(entry order by k) as ctas, list(text order by k) as cta_texts from cta where k <= 25 group by url, mode),
-txt as (select url, mode, html, trim(regexp_replace(""" + DECODE.format(
+ctas as (select url, mode, list(entry order by k) filter (where k <= 25) as ctas, list(text order by k) filter (where k <= 25) as cta_texts,
+    list(text order by k) as cta_all from cta group by url, mode),
+txt as (select url, mode, html, list_transform(regexp_extract_all(html, '(?s)<form>(.*?)</form>', 1), lambda f: list_transform(
+    list_filter(regexp_extract_all(f, '<(?:input|select|textarea)[^>]*>'), lambda t: not regexp_matches(t, 'type="(hidden|submit|button)"')),
+    lambda t: {'name': coalesce(nullif(regexp_extract(t, ' name="([^"]*)"', 1), ''), nullif(regexp_extract(t, ' id="([^"]*)"', 1), ''),
+      nullif(regexp_extract(t, ' placeholder="([^"]*)"', 1), ''), regexp_extract(t, '^<([a-z]+)', 1)), 'required': regexp_matches(t, ' required[ >]')})) as form_lists, trim(regexp_replace(""" + DECODE.format(
     x="regexp_replace(html, '<style>.*?</style>|<script[^>]*>.*?</script>|<!--.*?-->|<[^>]*>', ' ', 'gs')") + """, '\\s+', ' ', 'g')) as text from ok),
 feat0 as (select t.url, t.mode, t.text, case when t.text = '' then 0 else length(t.text) - length(replace(t.text, ' ', '')) + 1 end as word_count,
     regexp_extract_all(t.text, '(?i)[$€£]\\s?\\d[\\d,.]*[km]?\\b|\\b\\d+(?:\\.\\d+)?\\s?%|\\bper (?:month|transaction|user|seat|year)\\b|/mo(?:nth)?\\b') as prices,
@@ -54,11 +58,12 @@ feat0 as (select t.url, t.mode, t.text, case when t.text = '' then 0 else length
     list_transform(regexp_extract_all(t.html, '<h2>([^<]*)', 1)[1:10], lambda x: trim(x)) as h2,
     trim(""" + DECODE.format(x="regexp_extract(t.html, '<title>([^<]*)', 1)") + """) as title,
     trim(regexp_extract(t.html, '<meta name="description" content="([^"]*)"', 1)) as meta_description,
-    case when t.html like '%<form>%' then ['form 1: 3 fields (email*, vol, tax id)'] else []::varchar[] end as forms,
+    list_transform(form_lists[1:5], lambda l, i: 'form ' || i || ': ' || len(l) || ' fields (' || array_to_string(
+      list_transform(l[1:15], lambda e: e.name || case when e.required then '*' else '' end), ', ') || ')') as forms, flatten(form_lists) as form_fields,
     list_sort(list_distinct(case when t.html like '%ld+json%' then ['FAQPage', 'WebPage', 'Question'] else []::varchar[] end
       || case when t.html like '%itemtype%' then ['Product'] else []::varchar[] end)) as schema_types
   from txt t),
-feat as (select f.*, coalesce(x.ctas, []::varchar[]) as ctas, coalesce(x.cta_texts, []::varchar[]) as cta_texts
+feat as (select f.*, coalesce(x.ctas, []::varchar[]) as ctas, coalesce(x.cta_texts, []::varchar[]) as cta_texts, coalesce(x.cta_all, []::varchar[]) as cta_all
   from feat0 f left join ctas x on x.url = f.url and x.mode = f.mode),
 """
 CAPS = ("fx_captures",)
@@ -568,46 +573,62 @@ def _(spark, sf):
 
 
 # ---- layer measures -----------------------------------------------------------------------------
-@query("primary_competing_ctas", o("""
-@select url, cta_texts[1] as primary_cta, array_to_string(cta_texts[2:], '|') as competing, cast(greatest(len(cta_texts) - 1, 0) as int) as n_competing,
-  case when len(cta_texts) > 0 then (len(cta_texts) - 1) / len(cta_texts) else 0.0 end as dilution from feat where mode = 'rendered'"""), CAPS)
+OWN = GAP + "own as (select f.* from page p join feat f on f.url = p.url and f.mode = case when p.shown then 'rendered' else 'standard' end where p.ok),"
+PATH_OF = "lower(regexp_replace(regexp_extract({x}, '^[a-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''))"
+SIGNUP = " or ".join(f"contains(' ' || {PATH_OF.format(x='url')}, $${w}$$)" for key, _, words, _ in fv.PAGE_TYPES if key == "signup" for w in words)
+KINDS = ("list_transform(form_fields, lambda f: {'required': f.required, 'category': case "
+         + " ".join(f"when regexp_matches(lower(f.name), '{'|'.join(words)}') then '{name}'" for name, words in layers.FIELD_CATEGORIES.items())
+         + " else 'other' end})")
+CATEGORIES = [*layers.FIELD_CATEGORIES, "other"]
+
+
+def own_pages(spark, sf):
+    """Every page by the capture that serves it better."""
+    return resolved(spark, sf).filter("ok")
+
+
+@query("primary_competing_ctas", o(OWN + """
+@select url, cta_all[1] as primary_cta, array_to_string(cta_all[2:], '|') as competing, cast(greatest(len(cta_all) - 1, 0) as int) as n_competing,
+  case when len(cta_all) > 0 then (len(cta_all) - 1) / len(cta_all) else 0.0 end as dilution from own"""), CAPS)
 def _(spark, sf):
-    return layers.primary_competing_ctas(rendered(spark, sf).filter("ok")).select(
+    return layers.primary_competing_ctas(own_pages(spark, sf)).select(
         "url", "primary_cta", joined("competing_ctas").alias("competing"), "n_competing", "dilution")
 
 
-@query("friction_signals", o("""
-@select url, cast(len(forms) * 3 as int) as visible_fields, cast(len(forms) as int) as required_fields, len(prices) = 0 as no_price, len(ctas) = 0 as no_cta, word_count < 150 as very_low_text,
-  cast(len(prices) = 0 as int) + cast(len(ctas) = 0 as int) + cast(word_count < 150 as int) as n_flags from feat where mode = 'rendered'"""), CAPS)
+@query("friction_signals", o(OWN + """
+@select url, cast(len(form_fields) as int) as visible_fields, cast(len(list_filter(form_fields, lambda f: f.required)) as int) as required_fields, len(prices) = 0 as no_price, len(ctas) = 0 as no_cta, word_count < 150 as very_low_text,
+  cast(len(prices) = 0 as int) + cast(len(ctas) = 0 as int) + cast(word_count < 150 as int) as n_flags from own"""), CAPS)
 def _(spark, sf):
-    return layers.friction_signals(rendered(spark, sf).filter("ok"))
+    return layers.friction_signals(own_pages(spark, sf))
 
 
-@query("landing_assets", o("""
-k as (select regexp_replace(split_part(href, '/', 3), '^www\\.', '') as domain, href, lower(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1)) as path from links where mode = 'rendered')
+@query("landing_assets", o(OWN + """
+k as (select regexp_replace(split_part(href, '/', 3), '^www\\.', '') as domain, href, lower(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1)) as path from links join (select url, mode from own) p using (url, mode))
 select domain, kind, count(*) as links, count(distinct href) as assets, 'INFERRED' as evidence from (select domain, href, case when regexp_matches(path, '/(lp|go)/') then 'campaign'
   when regexp_matches(path, '(^|[/_-])vs([/_-]|$)') then 'versus' when contains(path, 'switch') then 'switch' end as kind from k) q where kind is not null group by domain, kind"""), CAPS)
 def _(spark, sf):
-    return layers.landing_assets(discovery.link_table(rendered(spark, sf).filter("ok")))
+    return layers.landing_assets(discovery.link_table(own_pages(spark, sf)))
 
 
-@query("message_match", o("""
+@query("message_match", o(OWN + """
 ad as (select page_id, keyword, url, title || ' ' || keyword || ' Plans' as title from fx_serp),
 j as (select a.keyword, a.page_id, a.url, list_distinct(list_filter(regexp_split_to_array(lower(a.title), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as w,
    list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', f.title, array_to_string(f.h1, ' '))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as p
-  from ad a join feat f on f.url = a.url and f.mode = 'rendered')
+  from ad a join own f on f.url = a.url)
 select keyword, page_id as position, url, round(len(list_intersect(w, p)) / len(list_distinct(w || p)), 9) as match from j"""), ("fx_captures", "fx_serp"))
 def _(spark, sf):
     serp = view(spark, sf, "fx_serp").select(
         "keyword", F.col("page_id").alias("position"), "url", F.concat("title", F.lit(" "), "keyword", F.lit(" Plans")).alias("title"))
-    return layers.message_match(serp, rendered(spark, sf)).withColumn("match", F.round("match", 9))
+    return layers.message_match(serp, own_pages(spark, sf)).withColumn("match", F.round("match", 9))
 
 
-@query("upfront_information", o("""
-@select url, cast(0 as bigint) as bank, cast(1 as bigint) as tax_id, cast(1 as bigint) as contact, cast(0 as bigint) as identity, cast(1 as bigint) as other, cast(1 as bigint) as required
-from feat where mode = 'rendered' and len(forms) > 0"""), CAPS)
+@query("upfront_information", o(OWN + f"""
+k as (select url, {KINDS} as kinds, {SIGNUP} as is_signup from own where len(form_fields) > 0),
+@select url, {', '.join(f"len(list_filter(kinds, lambda k: k.category = '{c}')) as {c}" for c in CATEGORIES)},
+  {', '.join(f"len(list_filter(kinds, lambda k: k.category = '{c}' and k.required)) as required_{c}" for c in CATEGORIES)},
+  len(list_filter(kinds, lambda k: k.required)) as required, is_signup from k"""), CAPS)
 def _(spark, sf):
-    return layers.upfront_information(rendered(spark, sf).filter("ok"))
+    return layers.upfront_information(own_pages(spark, sf))
 
 
 @query("competitive_matrix", o(SITE_PAGES + """

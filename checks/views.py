@@ -14,6 +14,11 @@ from funnelscope.session import spread
 SITE = ("'https://' || case when split_part(url, '/', 3) like 'www.%' then substr(split_part(url, '/', 3), 5) "
         "else split_part(url, '/', 3) end")
 
+# More forms, fields and calls to action than a printed summary holds, and a field name with a comma.
+LONG_FORMS = ("<form>" + "".join(f'<input name="company {i}" required>' for i in range(20)) + "</form>"
+              + '<form><input name="email, phone" required></form>' + "".join(f'<form><input id="bank{i}"></form>' for i in range(5)))
+MANY_CTAS = "".join(f"<button>Book a demo {i}</button>" for i in range(30))
+
 VIEWS = {
     "fx_pages": f"""
 select page_id, url, {SITE} as site, replace(replace(replace(html,
@@ -21,9 +26,10 @@ select page_id, url, {SITE} as site, replace(replace(replace(html,
   '</nav>', case when page_id % 4 = 0 then '<a href="/pricing">See pricing</a><a href="/signup?src=nav">Get started free</a><a href="">See  Pricing</a>'
        when page_id % 4 = 1 then '<a href="/compare#top">Compare us vs others</a><button>Book a demo</button><a href="/calculator#a">Savings</a><a href="/calculator#b">Savings</a>'
        when page_id % 4 = 2 then '<a href="//www.other.example.org/fees">Fees</a><a href="mailto:x@y.z">Contact sales</a><a href="/lp/offer">Offer</a><a href="/go/switch-now">Switch now</a>'
-       else '<a href="/demo">Book a demo</a>' end || '</nav>'),
+       else '<a href="/demo">Book a demo</a>' end || case when page_id % 9 = 4 then '{MANY_CTAS}' else '' end || '</nav>'),
   '</article>', case when page_id % 2 = 0 then '<h2>Plans</h2><h2>Rates</h2><h2></h2><p>$349 per month, 0.35% fee</p>' else '' end ||
   case when page_id % 5 = 0 then '<form><input name="email" required><input type="hidden" name="t"><select id="vol"></select><textarea placeholder="tax id"></textarea><input type="submit"></form>' else '' end ||
+  case when page_id % 6 = 5 then '{LONG_FORMS}' else '' end ||
   case when page_id % 7 = 0 then '<div itemscope itemtype="https://schema.org/Product/"></div>' else '' end ||
   case when page_id % 3 = 0 then '<script type="application/ld+json">{{"@type":["FAQPage","WebPage"],"mainEntity":[{{"@type":"Question"}}]}}</script>' else '' end || '</article>') as html
 from pages""",

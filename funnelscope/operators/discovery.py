@@ -136,7 +136,8 @@ def site_pages(audits: DataFrame, resolved: DataFrame) -> DataFrame:
         "site_url", "page_type", "page_url", F.col("error").alias("missing_error"))
     addressed = (wanted.join(discovered, ["site_url", "page_type"], "left")
                  .withColumn("page_url", F.when(F.col("page_type") == "home", F.col("site_url")).otherwise(F.col("page_url"))))
-    snapshots = resolved.withColumnRenamed("url", "page_url")
+    # The uncut entries serve measures of pages; an audit's snapshot has the cut ones.
+    snapshots = resolved.withColumnRenamed("url", "page_url").drop("cta_entries", "form_fields")
     joined = (addressed.join(snapshots, "page_url", "left")
               .withColumn("ok", F.coalesce("ok", F.lit(False)) & F.col("missing_error").isNull())
               .withColumn("error", F.when(~F.col("ok"), F.coalesce("missing_error", "error", F.lit("not captured")))))

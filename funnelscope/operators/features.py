@@ -34,22 +34,26 @@ def page_links(elements: Column) -> Column:
     return F.transform(anchors, lambda e: F.struct(collapse(e["text"]).alias("text"), e["href_abs"].alias("href")))
 
 
-def page_ctas(elements: Column) -> Column:
-    """Call-to-action entries, first spelling wins, at most 25."""
+def cta_entries(elements: Column) -> Column:
+    """Every call-to-action entry in page order; of a text's spellings the first."""
     texts = F.transform(_tagged(elements, "a", "button"), lambda e: F.struct(
         collapse(e["text"]).alias("text"), e["href"].alias("href"), e["href_abs"].alias("href_abs")))
     wanted = F.filter(texts, lambda e: (e["text"] != "") & (F.length(e["text"]) <= fv.MAX_CTA_CHARS)
                       & cta_match(e["text"]))
-    entries = F.transform(wanted, lambda e: F.struct(
-        F.lower(e["text"]).alias("key"),
+    entries = F.transform(wanted, lambda e, i: F.struct(
+        F.lower(e["text"]).alias("key"), i.alias("pos"),
         F.when(F.length(e["href"]) > 0, F.concat(e["text"], F.lit(" -> "), e["href_abs"]))
          .otherwise(F.concat(e["text"], F.lit(" [button]"))).alias("entry")))
-    empty = F.array().cast("array<struct<key:string,entry:string>>")
+    # Sorted by text, a repeat stands next to its first spelling: no search through what is known for each entry.
+    first = let(F.sort_array(entries), lambda by_text: F.filter(
+        by_text, lambda e, i: (i == 0) | (e["key"] != F.get(by_text, i - 1)["key"])))
+    in_order = F.sort_array(F.transform(first, lambda e: F.struct(e["pos"].alias("pos"), e["entry"].alias("entry"))))
+    return F.transform(in_order, lambda e: e["entry"])
+
 
-    def add(seen, e):
-        known = F.exists(seen, lambda s: s["key"] == e["key"])
-        return F.when(known | (F.size(seen) >= fv.MAX_CTAS), seen).otherwise(F.array_append(seen, e))
-    return F.aggregate(entries, empty, add, lambda seen: F.transform(seen, lambda s: s["entry"]))
+def page_ctas(elements: Column) -> Column:
+    """The first 25 call-to-action entries, as prompts and snapshots list them."""
+    return F.slice(cta_entries(elements), 1, fv.MAX_CTAS)
 
 
 def cta_text(entry: Column) -> Column:
@@ -58,16 +62,30 @@ def cta_text(entry: Column) -> Column:
 
 def _field_name(e: Column) -> Column:
     names = [F.when(F.length(e["attrs"][k]) > 0, e["attrs"][k]) for k in ("name", "id", "placeholder")]
-    mark = F.when(F.map_contains_key(e["attrs"], "required"), F.lit("*")).otherwise(F.lit(""))
-    return F.concat(F.coalesce(*names, e["tag"]), mark)
+    return F.coalesce(*names, e["tag"])
 
 
-def form_fields(elements: Column, form: Column) -> Column:
-    """Names of the visible fields inside ``form`` (nested forms included), ``*`` when required."""
-    inside = F.filter(elements, lambda e: (
+def _is_required(e: Column) -> Column:
+    return F.map_contains_key(e["attrs"], "required")
+
+
+def _visible_fields(elements: Column, form: Column) -> Column:
+    return F.filter(elements, lambda e: (
         (e["ord"] > form["ord"]) & (e["ord"] <= form["last"]) & e["tag"].isin("input", "select", "textarea")
         & ~F.coalesce(e["attrs"]["type"].isin("hidden", "submit", "button"), F.lit(False))))
-    return F.transform(inside, _field_name)
+
+
+def form_fields(elements: Column, form: Column) -> Column:
+    """Names of the visible fields inside ``form`` (nested forms included), ``*`` when required."""
+    return F.transform(_visible_fields(elements, form), lambda e: F.concat(
+        _field_name(e), F.when(_is_required(e), F.lit("*")).otherwise(F.lit(""))))
+
+
+def form_field_entries(elements: Column) -> Column:
+    """(form, name, required) of every visible field of every form; forms are numbered from 1."""
+    return F.flatten(F.transform(_tagged(elements, "form"), lambda form, i: F.transform(
+        _visible_fields(elements, form), lambda e: F.struct(
+            (i + 1).alias("form"), _field_name(e).alias("name"), _is_required(e).alias("required")))))
 
 
 def page_forms(elements: Column) -> Column:
@@ -106,7 +124,7 @@ def thin_flag(words: Column) -> Column:
 
 FEATURE_COLUMNS = [
     "title", "meta_description", "h1", "h2", "ctas", "forms", "schema_types", "has_faq_schema",
-    "word_count", "prices", "text_excerpt", "links",
+    "word_count", "prices", "text_excerpt", "links", "cta_entries", "form_fields",
 ]
 
 
@@ -133,7 +151,9 @@ def page_features(captures: DataFrame) -> DataFrame:
                 "h1": page_headings(e, "h1", fv.MAX_H1),
                 "h2": page_headings(e, "h2", fv.MAX_H2),
                 "ctas": page_ctas(e),
+                "cta_entries": cta_entries(e),
                 "forms": page_forms(e),
+                "form_fields": form_field_entries(e),
                 "schema_types": schema_types(F.col("ld_types"), e),
                 "word_count": word_count(F.col("text")),
                 "prices": price_mentions(F.col("text")),

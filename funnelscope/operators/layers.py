@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelscope import fixed_values as fv
-from funnelscope.functions.arrays import rows_of
+from funnelscope.functions.match import page_type_match
 from funnelscope.functions.urls import bare_domain, url_path
 from funnelscope.operators.features import cta_text
 from funnelscope.operators.timeline import running_sum
@@ -24,7 +24,7 @@ FIELD_CATEGORIES = {
 
 def primary_competing_ctas(pages: DataFrame) -> DataFrame:
     """First call to action of each page, the ones competing with it, and their share."""
-    texts = F.transform("ctas", cta_text)
+    texts = F.transform("cta_entries", cta_text)
     return (pages.withColumn("texts", texts).select(
         "url", F.try_element_at("texts", F.lit(1)).alias("primary_cta"),
         F.slice("texts", 2, 2**31 - 1).alias("competing_ctas"),
@@ -32,19 +32,12 @@ def primary_competing_ctas(pages: DataFrame) -> DataFrame:
         F.when(F.size("texts") > 0, (F.size("texts") - 1) / F.size("texts")).otherwise(0.0).alias("dilution")))
 
 
-def form_field_list(forms: Column) -> Column:
-    """Field names out of the form summaries, required mark kept."""
-    inner = F.transform(forms, lambda f: F.regexp_extract(f, r"(?s)fields \((.*)\)\z", 1))
-    return F.flatten(F.transform(F.filter(inner, lambda x: x != ""), lambda x: F.split(x, ", ")))
-
-
 def friction_signals(pages: DataFrame) -> DataFrame:
-    """Visible and required form fields, and flags for no price, no call to action, a thin page."""
-    visible = F.aggregate(F.transform("forms", lambda f: F.regexp_extract(f, r"\Aform \d+: (\d+) fields", 1).cast("int")),
-                          F.lit(0), lambda a, b: a + b)
+    """Visible and required form fields of all forms, and flags for no price, no call to action, a thin page."""
+    visible = F.size("form_fields")
     flags = {"no_price": F.size("prices") == 0, "no_cta": F.size("ctas") == 0,
              "very_low_text": F.col("word_count") < fv.VERY_LOW_WORDS}
-    required = F.size(F.filter(form_field_list(F.col("forms")), lambda f: f.endswith("*")))
+    required = F.size(F.filter("form_fields", lambda f: f["required"]))
     return pages.select(
         "url", visible.alias("visible_fields"), required.alias("required_fields"),
         *[c.alias(n) for n, c in flags.items()],
@@ -109,7 +102,7 @@ def answer_mention_share(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 def field_category(field: Column) -> Column:
     """Category of a form field by the words in its name."""
-    plain = F.lower(F.regexp_replace(field, r"\*\z", ""))
+    plain = F.lower(field)
     out = F.lit(None).cast("string")
     for name, words in reversed(FIELD_CATEGORIES.items()):
         out = F.when(plain.rlike("|".join(words)), F.lit(name)).otherwise(out)
@@ -117,13 +110,22 @@ def field_category(field: Column) -> Column:
 
 
 def upfront_information(pages: DataFrame) -> DataFrame:
-    """Fields a form page asks for, by category, with how many are required."""
-    fields = rows_of(pages, form_field_list(F.col("forms")), ["url"], item="field").drop("pos")
+    """Fields a page with forms asks for, by category, with how many of each are required, and whether its path is a sign-up page's.
+
+    Fields are counted inside the page's row: no explode and no shuffle.
+    """
+    def count(category: str | None, required: bool) -> Column:
+        def keep(kind):
+            fits = F.lit(True) if category is None else kind["category"] == category
+            return fits & kind["required"] if required else fits
+        return F.size(F.filter("kinds", keep)).cast("long")
+
     cats = [*FIELD_CATEGORIES, "other"]
-    cat = field_category(F.col("field"))
-    return fields.withColumn("category", cat).groupBy("url").agg(
-        *[F.count_if(F.col("category") == c).alias(c) for c in cats],
-        F.count_if(F.col("field").endswith("*")).alias("required"))
+    kinds = F.transform("form_fields", lambda f: F.struct(field_category(f["name"]).alias("category"), f["required"].alias("required")))
+    return (pages.where(F.size("form_fields") > 0).select("url", kinds.alias("kinds")).select(
+        "url", *[count(c, False).alias(c) for c in cats], *[count(c, True).alias(f"required_{c}") for c in cats],
+        count(None, True).alias("required"),
+        F.array_contains(page_type_match(F.lit(""), F.col("url")), "signup").alias("is_signup")))
 
 
 def competitive_matrix(pages: DataFrame) -> DataFrame:
