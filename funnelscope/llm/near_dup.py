@@ -7,8 +7,11 @@ with the longest common prefix that are not linked to it yet, if at least ``LEAS
 dense region such neighbours agree far deeper, in a sparse one the prefix may be short. Candidates whose set sizes allow the similarity
 are confirmed on the full sets, computed from the whole texts. Links give components, and the orders are read again: a
 document then meets the next one of *another* component, so whatever lies between two texts in a dense region is stepped
-over. This goes on until no order offers an untried candidate that links. No group's pairs are ever listed; every
-row gives at most two candidates per order and round.
+over. This goes on until no order offers an untried candidate that links; every row gives at most two candidates per order and round.
+
+Where three rows or more of several components are left under one prefix, neighbours may hide each other. All rows of such dense regions
+are joined exactly: over the rarest shingles of each (prefix filter with positions, PPJoin), hot shingles dealt over salted keys. So every
+pair that shares a prefix in some order is either linked, or was tried, or is ruled out by the filter.
 
 Orders are range-partitioned by (tree, key, hashed id), so equal keys spread as well; the rows at the partitions' ends are matched
 in a pass of their own. A pair of similarity 0.85 agrees on a prefix of three in a tree with probability 0.61: all twelve miss it once in 90,000.
@@ -33,6 +36,8 @@ TREES, DEPTH, LEAST_PREFIX = 12, 6, 3
 # Trees read in the first rounds; then all, until nothing new links.
 FIRST_ROUNDS = ((0, 1), (2, 3, 4, 5))
 EDGE_ROWS = 4
+SKETCH_BITS = 20      # counters that order the shingles of dense regions; any order gives the same pairs
+CHUNK_ENTRIES = 512   # indexed rows of one shingle under one salt
 SEEDS = np.random.default_rng(20240).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 SETS = "id long, n_shingles long, set_a long, set_b long, minima binary"
 FOUND = "a long, b long, tree int, key binary, tie long, id long, n long, component long"
@@ -166,6 +171,76 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similar: tuple[int, i
     return pairs.join(left, "a").join(right, "b").mapInArrow(of, "a long, b long").distinct()
 
 
+def _dense(rows: DataFrame) -> DataFrame:
+    """(id) of the rows (tree, key, id, component) under a prefix that three rows or more of several components share."""
+    rows = rows.withColumn("prefix", F.substring("key", 1, 4 * LEAST_PREFIX))
+    shared = (rows.groupBy("tree", "prefix").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most"))
+              .where("members > 2 and least <> most").select("tree", "prefix"))
+    return rows.join(shared, ["tree", "prefix"], "left_semi").select("id").distinct()
+
+
+def _counters(texts: DataFrame, k: int) -> np.ndarray:
+    """How many sets hold a shingle of each hash bucket, by the top bits."""
+    shift = np.uint64(64 - SKETCH_BITS)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for part in hashing.slices(batch, "text"):
+                count += np.bincount((shingles(part.column("text"), k)[1] >> shift).astype(np.int64), minlength=len(count))
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["bucket", "n"])
+
+    found = written(texts.select("text").mapInArrow(of, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counters").toArrow()
+    count = np.zeros(1 << SKETCH_BITS, np.uint32)
+    count[found.column("bucket").to_numpy()] = np.minimum(found.column("n").to_numpy(), 0xFFFFFFFF)
+    return count
+
+
+ENTRIES = "token long, id long, component long, n long, place long, indexed boolean"
+
+
+def _entries(texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
+    """The rarest shingles of each text (id, text, component): as many as a similar, not smaller set must meet (``indexed``), or a not larger one."""
+    counters = texts.sparkSession.sparkContext.broadcast(_counters(texts, k))
+    p, q = similar
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - SKETCH_BITS)
+        for batch in batches:
+            for part in hashing.slices(batch, "text"):
+                first, values = shingles(part.column("text"), k)
+                size = np.diff(first)
+                doc = np.repeat(np.arange(part.num_rows), size)
+                order = np.lexsort((values, counters.value[(values >> shift).astype(np.int64)], doc))
+                place, n = np.arange(len(values)) - first[doc], size[doc]
+                keep = place <= n + (-p * n // q)
+                indexed = place <= n + (-2 * p * n // (p + q))
+                doc, take = doc[keep], pa.array(doc[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [signed(values[order][keep]), part.column("id").take(take), part.column("component").take(take), pa.array(n[keep]),
+                     pa.array(place[keep]), pa.array(indexed[keep])], ["token", "id", "component", "n", "place", "indexed"])
+
+    return written(texts.select("id", "text", "component").mapInArrow(of, ENTRIES), "entries")
+
+
+def _dense_pairs(texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
+    """Distinct (a, b), a < b, of different components: every pair of ``texts`` that is similar enough is among them."""
+    entries = _entries(texts, k, similar)
+    hot = written(entries.where("indexed").groupBy("token").count().where(F.col("count") > CHUNK_ENTRIES)
+                  .select("token", F.ceil(F.col("count") / CHUNK_ENTRIES).cast("int").alias("salts")), "hot-shingles")
+    salted = entries.join(hot, "token", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    small = salted.where("indexed").select("token", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("x"),
+                                           F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    large = salted.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("y"),
+                          F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    p, q = similar
+    fits = (f"cx <> cy and (nx < ny or nx = ny and x < y) and {q} * nx >= {p} * ny "
+            f"and {p + q} * least(nx - px, ny - py) >= {p} * (nx + ny)")
+    met = large.join(small, ["token", "salt"]).where(fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, similar: tuple[int, int] = (80, 100), doc_id: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of its near duplicates), ``kept``.
@@ -210,6 +285,17 @@ def near_duplicates(documents: DataFrame, k: int = 5, similar: tuple[int, int] =
             labels = merged(labels, new)
         elif chosen is None:
             break
+    dense = written(_dense(rows), "dense")
+    if not dense.isEmpty():
+        regions = whole.join(dense, "id", "left_semi")
+        if labels is None:
+            regions = regions.withColumn("component", F.col("id"))
+        else:
+            regions = regions.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pairs = written(_dense_pairs(written(regions, "regions"), k, similar).join(tried, ["a", "b"], "left_anti"), "candidates")
+        new = written(_confirmed(pairs, whole, k, similar), "links")
+        if not new.isEmpty():
+            labels = merged(labels, new)
     found = merged(labels, copies)
     component = F.coalesce("component", "id")
     return (sets.join(found, "id", "left")

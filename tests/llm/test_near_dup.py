@@ -1,5 +1,6 @@
 """Near duplicates against brute force over all pairs."""
 
+import random
 import re
 
 import pytest
@@ -61,6 +62,24 @@ def test_chains_copies_and_borderline(spark):
     assert got == brute_force(rows, 3, (85, 100))
 
 
+def changed(text, places, mark):
+    return [f"{mark}-{i}" if i in places else w for i, w in enumerate(text)]
+
+
+def test_dense_region_of_one_template(spark, monkeypatch):
+    """Texts over one template, similar by about 0.8, hide the planted pairs from each other in every order."""
+    monkeypatch.setattr(near_dup, "CHUNK_ENTRIES", 16, raising=False)
+    draw, base, rows = random.Random(3), words(0, 300), []
+    for i in range(600):
+        rows.append((i, changed(base, draw.sample(range(0, 300, 4), 5), f"x{i}")))
+    for i in range(0, 600, 20):
+        rows.append((1000 + i, changed(rows[i][1], draw.sample(range(2, 300, 4), 3), f"y{i}")))
+    rows = [(i, " ".join(text)) for i, text in rows]
+    expected = brute_force(rows, 3, (85, 100))
+    assert sum(i != root for i, (_, root) in expected.items()) >= 30
+    assert found(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100))) == expected
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "One two"), (5, "one  TWO\n"), (6, "one"), (None, "one two"), (7, "a b c"), (7, "a b c"),
             (8, "z " * 50_000), (9, "Z z z")]
