@@ -259,11 +259,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, similar: tuple[int, int] =
     trees = (firsts.select("id", F.col("n_shingles").alias("n"), tree.alias("t"))
              .select("t.tree", "t.key", F.xxhash64("t.tree", "id").alias("tie"), "id", "n"))
     trees = written(trees, "trees")
-    # Only rows with a neighbour in some tree can ever be candidates; only their texts are needed.
-    lone = trees.withColumn("component", F.col("id"))
-    first_pairs = written(_candidates(lone, similar), "candidates")
-    wanted = first_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = written(wanted, "wanted")
+    # A row that shares its prefix with no other row in any tree is never a candidate; texts of the others are needed.
+    by_prefix = trees.withColumn("prefix", F.substring("key", 1, 4 * LEAST_PREFIX))
+    together = by_prefix.groupBy("tree", "prefix").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    wanted = written(by_prefix.join(together, ["tree", "prefix"], "left_semi").select("id").distinct(), "wanted")
     whole = written(texts.join(wanted, "id", "left_semi").where("text is not null"), "texts")
     trees = written(trees.join(wanted, "id", "left_semi"), "trees")
     tried, labels = None, None

@@ -70,9 +70,9 @@ def test_dense_region_of_one_template(spark, monkeypatch):
     """Texts over one template, similar by about 0.8, hide the planted pairs from each other in every order."""
     monkeypatch.setattr(near_dup, "CHUNK_ENTRIES", 16, raising=False)
     draw, base, rows = random.Random(3), words(0, 300), []
-    for i in range(600):
+    for i in range(300):
         rows.append((i, changed(base, draw.sample(range(0, 300, 4), 5), f"x{i}")))
-    for i in range(0, 600, 20):
+    for i in range(0, 300, 10):
         rows.append((1000 + i, changed(rows[i][1], draw.sample(range(2, 300, 4), 3), f"y{i}")))
     rows = [(i, " ".join(text)) for i, text in rows]
     expected = brute_force(rows, 3, (85, 100))
@@ -80,6 +80,19 @@ def test_dense_region_of_one_template(spark, monkeypatch):
     assert found(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100))) == expected
 
 
+def test_passages_quoted_at_other_lengths(spark):
+    """Copies stand among longer texts that quote the same passage: similar by about 0.77, but of sizes that rule it out."""
+    draw, rows = random.Random(4), []
+    for passage in range(3):
+        base = words(1000 * passage, 100)
+        rows += [(1000 * passage + i, base + [f"{passage}-{i}-{j}" for j in range(30)]) for i in range(150)]
+        rows += [(1000 * passage + 500, base), (1000 * passage + 501, changed(base, draw.sample(range(2, 96, 4), 2), f"c{passage}"))]
+    rows = [(i, " ".join(text)) for i, text in rows]
+    expected = brute_force(rows, 3, (85, 100))
+    assert sum(i != root for i, (_, root) in expected.items()) == 3
+    assert found(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100))) == expected
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "One two"), (5, "one  TWO\n"), (6, "one"), (None, "one two"), (7, "a b c"), (7, "a b c"),
             (8, "z " * 50_000), (9, "Z z z")]
