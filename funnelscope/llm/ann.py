@@ -7,6 +7,7 @@ centre is nearest to the query is opened next, whatever its level.
 
 How many leaves a query visits is calibrated on the data: for ``calibration`` queries the exact neighbours are found by
 brute force over all rows (in blocks, with bounded queries), and leaves are visited until the wanted share of these lie in visited leaves.
+A query goes on from there until the visited leaves hold ``k`` rows besides itself.
 
 Rows take part if the vector is not null or zero, holds no null or non-finite component and has the dimension most rows have.
 A leaf's rows are dealt over chunks of bounded size, and its queries as well, so a hot leaf (many equal vectors) is many tasks.
@@ -101,17 +102,18 @@ class Tree:
                 waiting += [(child, rows[nearest == i]) for i, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and further ones until they hold ``least`` rows, by the counts ``held``."""
         near = -(self.centres @ query)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, rows = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or rows < least):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for child in self.children[node]:
                     heapq.heappush(queue, (near[child], child))
             else:
                 out.append(int(self.leaf_of[node]))
+                rows += int(held[out[-1]]) if held is not None else 0
         return out
 
 
@@ -209,6 +211,9 @@ SEARCHED = "query_row long, query_id long, vec_id long, leaf int, score double"
 def search(index: Index, is_query: Column) -> DataFrame:
     """(query_id, rank, vec_id, score) of every indexed row for which ``is_query`` (of ``vec_id``) holds."""
     spark, k, visits = index.rows.sparkSession, index.k, index.visits
+    held = np.zeros(index.tree.leaves, np.int64)
+    for leaf, count in index.rows.groupBy("leaf").count().collect():
+        held[leaf] = count
     shared = spark.sparkContext.broadcast((index.tree.centres, index.tree.children))
 
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +221,7 @@ def search(index: Index, is_query: Column) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                leaves = [tree.visits(v, visits) for v in unit(rows_of(part.column("vector")))]
+                leaves = [tree.visits(v, visits, held, k + 1) for v in unit(rows_of(part.column("vector")))]
                 of = np.repeat(np.arange(part.num_rows), [len(x) for x in leaves])
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(pa.array(of)) for c in ("row", "vec_id", "vector")),
