@@ -24,13 +24,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Of rows that share an id, one stays."""
-    judged = near_dup.near_duplicates(docs)
-    gone = written(judged.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id. Texts that share an id are documents of their own.
+
+    Repeated rows stay once, and a blank text goes where its id still has a real one.
+    """
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    judged = near_dup.near_duplicates(keyed, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    judged = written(judged.where("_key is not null").join(keyed.select("_key", "doc_id").distinct(), "_key"), "judged")
+    first = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count("*").alias("members"))
+    gone = judged.join(first.where("members > 1"), "component_id").where("_key <> first._key").select("_key").distinct()
+    rest = keyed.join(written(gone, "near-copies"), "_key", "left_anti")
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     row = F.struct(*[F.col(c) for c in docs.columns])
-    known = rest.where("doc_id is not null").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
-    return known.unionByName(rest.where("doc_id is null"))
+    known = (rest.where("doc_id is not null").withColumn("_blank", blank)
+             .groupBy("doc_id", "_blank", F.when(~F.col("_blank"), F.col("_key")).alias("_key")).agg(F.min(row).alias("row")))
+    known = written(known, "single")
+    both = known.groupBy("doc_id").agg(F.min("_blank").alias("least"), F.max("_blank").alias("_blank")).where("_blank and not least")
+    known = known.join(both.select("doc_id", "_blank"), ["doc_id", "_blank"], "left_anti").select("row.*")
+    return known.unionByName(rest.where("doc_id is null").select(*docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

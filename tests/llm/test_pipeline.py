@@ -73,6 +73,14 @@ def test_odd_rows(spark, sf_dir):
     encoded.collect()
 
 
+def test_texts_that_share_an_id(spark, sf_dir):
+    text = [" ".join(f"{t}{i}" for i in range(40)) for t in "abc"]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (3, text[1]), (3, text[2]), (3, text[2]), (4, ""), (4, text[2]), (5, " "), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    once = [(r["doc_id"], (r["text"] or "").strip()) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    assert sorted(once) == [(1, text[0]), (2, text[1]), (3, text[2]), (4, ""), (5, "")]
+
+
 def test_empty(spark, sf_dir):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
     for _, stage in corpus_pipeline.STAGES:
