@@ -6,7 +6,8 @@ for itself. The text of every page is then extracted anew with its host's winnin
 that it has, or its own best container where it has none of them.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles never count, by
-element name, role or the words in their class and id. A list that is nothing but three or more links is a menu.
+element name, role or the words in their class and id. A block that only such a word or ``form`` marks still counts where it
+holds most of the page's text without links, or the page's only article or main; reader comments and consents do not. A list that is nothing but three or more links is a menu.
 
 Null or empty HTML gives an empty text; a page without a host takes part under the empty host; broken markup is read
 as far as it goes (unclosed elements end with their parent); repeated pages each vote and each come back.
@@ -46,16 +47,18 @@ OUT_WORDS = frozenset(
     "disqus feedback footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager "
     "pagination popup privacy promo promos promotion related replies responses rail share sharing sidebar sidebars signup social "
     "sponsor sponsored subscribe subscription teaser toc toolbar tooltip widget widgets".split())
+NEVER_WORDS = frozenset("comment comments consent cookie cookies disqus gdpr replies responses".split())
+MODIFIER = r"""(?<!\S)(?:has|hide|is|no|non|not|with|without)[-_]\S+"""
 BODY_WORDS = frozenset("article body content entry main post story text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WINNERS_PER_HOST = 16
 
 
 class Element:
-    __slots__ = ("tag", "path", "out", "link", "menu", "article")
+    __slots__ = ("tag", "path", "out", "link", "menu", "article", "marks")
 
-    def __init__(self, tag, path, out, link, menu, article):
-        self.tag, self.path, self.out, self.link, self.menu, self.article = tag, path, out, link, menu, article
+    def __init__(self, tag, path, out, link, menu, article, marks=()):
+        self.tag, self.path, self.out, self.link, self.menu, self.article, self.marks = tag, path, out, link, menu, article, marks
 
 
 class Reader:
@@ -65,18 +68,20 @@ class Reader:
         self.tokens = re.compile(TOKEN, re.DOTALL).finditer
         self.attributes = re.compile(ATTRIBUTE, re.IGNORECASE).finditer
         self.word = re.compile(r"[a-z]+").findall
+        self.modifiers = re.compile(MODIFIER)
         self.number = re.compile(r"\d+|(?<![a-z])[0-9a-f]{8,}")
 
     def blocks(self, html: str) -> list[list]:
         stack, out, parts, links, lists = [Element("", "", False, False, 0, False)], [], [], 0, 0
         done, skip_until = 0, None
+        doubtful, anchors = [], []  # of each marked block whether it may count; the marks around each article and main
 
         def flush() -> None:
             nonlocal parts, links
             if parts:
                 if text := " ".join("".join(parts).split()):
                     top = stack[-1]
-                    out.append([top.path, text, links, top.menu])
+                    out.append([top.path, text, links, top.menu, top.marks])
                 parts, links = [], 0
 
         def take(start: int, end: int) -> None:
@@ -127,7 +132,7 @@ class Reader:
             if tag in VOID:
                 continue
             top = stack[-1]
-            path, dropped, article = top.path, top.out, top.article
+            path, dropped, article, around = top.path, top.out, top.article, top.marks
             if not dropped:
                 marks, role, hidden = "", "", False
                 for a in self.attributes(found[3]) if found[3] else ():
@@ -138,22 +143,32 @@ class Reader:
                         role = value
                     else:
                         hidden |= key == "hidden" or value == "true"
-                dropped = (hidden or role in OUT_ROLES or tag in OUT_TAGS and not (tag == "header" and article)
-                           or tag not in ("body", "html", "article", "main") and not OUT_WORDS.isdisjoint(self.word(marks))
-                           or tag == "article" and article and not OUT_WORDS.isdisjoint(self.word(marks))
-                           or tag == "article" and not {"comment", "comments", "reply", "replies"}.isdisjoint(self.word(marks)))
+                words = self.word(self.modifiers.sub(" ", marks))
+                worded = tag not in ("body", "html", "article", "main") and not OUT_WORDS.isdisjoint(words)
+                dropped = (hidden or role in OUT_ROLES or tag in OUT_TAGS and tag != "form" and not (tag == "header" and article)
+                           or worded and tag in INLINE
+                           or tag == "article" and article and not OUT_WORDS.isdisjoint(words)
+                           or tag == "article" and not {"comment", "comments", "reply", "replies"}.isdisjoint(words))
                 if top.tag == "header" and article and tag not in HEADINGS:
                     dropped = True
+                if not dropped and (worded or tag == "form"):
+                    around = (*around, len(doubtful))
+                    doubtful.append(NEVER_WORDS.isdisjoint(words))
+                if not dropped and tag in ("article", "main"):
+                    anchors.append(around)
                 if tag in CONTAINERS:
                     first = self.number.sub("#", marks.split()[0]) if marks.strip() else ""
                     path = f"{path}/{tag}{'.' + first if first else ''}"
             if tag in ("ul", "ol"):
                 lists += 1
             menu = lists if tag in ("ul", "ol") else 0 if tag in CONTAINERS else top.menu
-            stack.append(Element(tag, path, dropped, top.link or tag == "a", menu, article or tag == "article"))
+            stack.append(Element(tag, path, dropped, top.link or tag == "a", menu, article or tag == "article", around))
         if not skip_until:
             take(done, len(html))
         flush()
+        if doubtful:
+            out = self.counted(out, doubtful, anchors)
+        out = [b[:4] for b in out]
         items = {}
         for b in out:
             if b[3]:
@@ -162,6 +177,19 @@ class Reader:
                 seen[1] &= b[2] >= len(b[1])
         return [b for b in out if not b[3] or not (items[b[3]][1] and items[b[3]][0] >= 3)]
 
+    @staticmethod
+    def counted(blocks: list[list], doubtful: list[bool], anchors: list[tuple]) -> list[list]:
+        """The blocks whose marks all turn out to hold the page's text."""
+        held, total = [0] * len(doubtful), 0
+        for _, text, links, _, marks in blocks:
+            worth = max(0, len(text) - links)
+            total += worth
+            for mark in marks:
+                held[mark] += worth
+        only = set().union(*anchors) if all(anchors) else set()
+        keeps = [may and (2 * worth > total or mark in only) for mark, (may, worth) in enumerate(zip(doubtful, held))]
+        return [b for b in blocks if all(keeps[mark] for mark in b[4])]
+
     @staticmethod
     def close(stack: list, tags: tuple) -> None:
         """An element that a new sibling ends, with all that is open inside it."""
