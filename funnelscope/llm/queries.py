@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import ann, bpe, html_text, mixing, near_dup, pii, quality, repeats, simhash, toxicity
+from funnelscope.llm import ann, bpe, html_text, lines, mixing, near_dup, pii, quality, repeats, simhash, toxicity
 from funnelscope.llm.labelled import remainder
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -90,6 +90,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines of ten code points or more that a document of smaller id holds too."""
+    cut = lines.without_shared_lines(table(spark, sf_dir, "documents"), least_documents=2, least_chars=10)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_personal_data": op2_personal_data,
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 # The rates and counts of op8 in DuckDB: sizes per source, their powers as weights, Poisson distributions, hashed uniforms.
@@ -125,4 +132,19 @@ copied as (
 select doc_id, source, text, copy,
     ('0x' || md5('18/' || coalesce(doc_id::varchar, '') || '/' || copy)[1:13])::bigint / 4503599627370496.0 as mix_position
 from copied""",
+    "op13_line_dedup": """
+with texts as (
+    select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+placed as (
+    select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from texts),
+keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from placed),
+shared as (
+    select key, min(doc_id) as holder from keyed where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+marked as (
+    select k.*, s.key is not null and k.doc_id <> s.holder as gone from keyed k left join shared s on s.key = k.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from marked group by doc_id""",
 }
