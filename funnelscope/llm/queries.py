@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import ann, bpe, html_text, lines, mixing, near_dup, pii, quality, repeats, simhash, toxicity
+from funnelscope.llm import ann, bpe, html_text, lines, mixing, near_dup, pii, quality, repeats, runs, simhash, toxicity
 from funnelscope.llm.labelled import remainder
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -90,6 +90,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every text, every tenth text (by hash of its id) turned into a cycle from one word on."""
+    documents = table(spark, sf_dir, "documents")
+    turned = documents.select("doc_id", runs.cycled(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.find_runs(turned, least_power=4, least_words=6).withColumn("best", runs.strongest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines of ten code points or more that a document of smaller id holds too."""
     cut = lines.without_shared_lines(table(spark, sf_dir, "documents"), least_documents=2, least_chars=10)
@@ -107,6 +118,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_line_dedup": op13_line_dedup,
 }
 
