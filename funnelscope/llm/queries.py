@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from funnelscope.llm import ann, bpe, html_text, lines, mixing, near_dup, pii, quality, repeats, runs, simhash, toxicity
+from funnelscope.llm import ann, bpe, html_text, lines, mixing, near_dup, phrases, pii, quality, repeats, runs, simhash, toxicity
 from funnelscope.llm.labelled import remainder
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -101,6 +101,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 strongest phrases of two or three words, said ten times or more."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), most_words=3, least_count=10, covered_percent=50, top=2000)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines of ten code points or more that a document of smaller id holds too."""
     cut = lines.without_shared_lines(table(spark, sf_dir, "documents"), least_documents=2, least_chars=10)
@@ -119,6 +124,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -144,6 +150,41 @@ copied as (
 select doc_id, source, text, copy,
     ('0x' || md5('18/' || coalesce(doc_id::varchar, '') || '/' || copy)[1:13])::bigint / 4503599627370496.0 as mix_position
 from copied""",
+    "op12_collocations": """
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+split as (
+    select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from pieces),
+placed as (
+    select lang, w, unnest(range(1, len(w) + 1)) as i from split),
+grams as (
+    select lang, 1 as k, w[i] as p from placed
+    union all select lang, 2, w[i] || ' ' || w[i + 1] from placed where i + 1 <= len(w)
+    union all select lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from placed where i + 2 <= len(w)),
+counts as (
+    select lang, k, p, count(*) as c from grams group by all having count(*) >= 10),
+totals as (
+    select lang, sum(len(w))::bigint as n from split group by lang),
+cands as (
+    select lang, k, p, c as a, string_split(p, ' ') as s from counts where k > 1),
+cuts as (
+    select lang, p, k, a, s, 1 as cut, s[1] as x, array_to_string(s[2:], ' ') as y from cands
+    union all select lang, p, k, a, s, 2, s[1] || ' ' || s[2], s[3] from cands where k = 3),
+scored as (
+    select u.lang, u.p, u.a, u.cut, f.c as l, g.c as r, ((1000000::hugeint * u.a * u.a) // (f.c::hugeint * g.c))::bigint as score
+    from cuts u join counts f on f.lang = u.lang and f.p = u.x join counts g on g.lang = u.lang and g.p = u.y),
+weakest as (
+    select * from scored qualify row_number() over (partition by lang, p order by score, cut) = 1),
+around as (
+    select lang, p, max(a) as most from (
+        select lang, s[1] || ' ' || s[2] as p, a from cands where k = 3
+        union all select lang, s[2] || ' ' || s[3], a from cands where k = 3) group by all),
+kept as (
+    select w.* from weakest w left join around o on o.lang = w.lang and o.p = w.p where o.most is null or 100 * o.most < 50 * w.a),
+ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, p) as rank from kept)
+select lang, rank, p as phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000""",
     "op13_line_dedup": """
 with texts as (
     select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
