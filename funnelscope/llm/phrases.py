@@ -6,10 +6,11 @@ by as many words as a phrase may have, which is all that intervals of such phras
 extended to the right and to the left by turns, all of a length at once: each node is a phrase with its count, its extensions the nodes
 of the next length.
 
-Counts of shards are summed in two passes. The first sums them by a 64-bit hash of the phrase, two numbers a row; hashes may collide, so
-its sums are upper bounds. The hashes that reach ``least_count`` set bits in a table of ``2 ** filter_bits`` bits, whatever the input's
-size (16 MB; fuller tables let more rows through and change no result). The second pass counts by the words themselves the phrases whose bit is
-set. A phrase is at most as frequent as its parts, so parts of candidates always come along.
+Counts of shards are summed in two passes. The first adds them up in 2 ** 32 cells by a hash of the phrase, in pages of which a task holds one
+at a time; a shard sends each page its counts as one packed value. Phrases may share a cell, so cells are upper bounds. Cells that reach
+``least_count`` set bits in a table of 16 MB, whatever the input's size (fuller cells and tables let more rows through and change no
+result). The second pass counts by the words themselves the phrases whose bit is set. A phrase is at most as frequent as its parts,
+so parts of candidates always come along, and what is not frequent is not extended.
 
 Parts and longer phrases meet their candidates in plain joins and sums; ranks are taken within salted groups first, so a language with
 most of all phrases is no task of its own.
@@ -32,10 +33,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from funnelscope.llm import hashing
 from funnelscope.llm.store import written
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 NO_LANGUAGE = "und"
-PAGE_BITS = 32_768       # bits of one value of Spark's bitmap functions
+PAGE_BITS, CELL_BITS, COUNT_BITS = 12, 20, 12   # a hash names a page and a cell there; larger counts are sent as the largest
+FILTER_BITS = 27
 RANK_SALTS = 64
 DIGITS = 14              # counts below 10 ** 14: their product with a million stays within 38 digits
 
@@ -53,17 +55,29 @@ class Nodes:
         return Nodes(self.length, self.ahead[keep], self.back[keep], self.count[keep])
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Places of non-negative keys in stable order. A place fits behind its key as a rule: then plain numbers are sorted."""
+    shift = max(len(keys) - 1, 1).bit_length()
+    if int(keys.max(initial=0)).bit_length() + shift > 63:
+        return np.argsort(keys, kind="stable")
+    packed = keys.astype(np.int64) << shift
+    packed |= np.arange(len(keys))
+    packed.sort()
+    packed &= (1 << shift) - 1
+    return packed
+
+
 class _Index:
     """Suffix order by the first ``depth`` symbols (the sequence as a ring), the symbols before, and where a step back leads."""
 
     def __init__(self, symbols: np.ndarray, depth: int):
-        order = np.arange(len(symbols))
-        for ahead in range(depth - 1, -1, -1):
-            order = order[np.argsort(np.roll(symbols, -ahead)[order], kind="stable")]
-        self.order = order
+        order = _order(np.roll(symbols, 1 - depth))
+        for ahead in range(depth - 2, -1, -1):
+            order = order[_order(np.roll(symbols, -ahead)[order])]
+        self.order = order.astype(np.int32)
         self.before = symbols[order - 1]
-        self.step = np.empty(len(symbols), np.int64)
-        self.step[np.argsort(self.before, kind="stable")] = np.arange(len(symbols))
+        self.step = np.empty(len(symbols), np.int32)
+        self.step[_order(self.before)] = np.arange(len(symbols), dtype=np.int32)
 
 
 class PhraseIndex:
@@ -88,7 +102,7 @@ class PhraseIndex:
         rows = np.arange(len(node)) + np.repeat(near - offsets, nodes.count)
         symbol = index.before[rows].astype(np.int64)
         key = node * (int(self.symbols.max(initial=0)) + 1) + symbol
-        order = np.argsort(key, kind="stable")
+        order = _order(key)
         key = key[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         first, of = order[at], node[order[at]]
@@ -170,16 +184,53 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
                 yield shard
 
 
-def _hashed(most_words: int):
+def _paged(most_words: int):
+    """(page, counts): cells of a page and their counts, packed, for every shard."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
+            cells, counts = [], []
             for nodes, places in _lengths(PhraseIndex(shard.symbols, most_words)):
-                yield pa.RecordBatch.from_arrays([pa.array(shard.hashes(places, nodes.length).view(np.int64)),
-                                                  pa.array(nodes.count.astype(np.int64))], ["hash", "times"])
+                cells.append(_cells(shard, nodes, places))
+                counts.append(nodes.count)
+            cells, counts = np.concatenate(cells), np.minimum(np.concatenate(counts), (1 << COUNT_BITS) - 1)
+            packed = (cells << COUNT_BITS) | counts
+            packed.sort()
+            pages = np.flatnonzero(np.bincount(packed >> (CELL_BITS + COUNT_BITS), minlength=1))
+            bounds = np.append(np.searchsorted(packed, pages << (CELL_BITS + COUNT_BITS)), len(packed))
+            data = (packed & ((1 << CELL_BITS + COUNT_BITS) - 1)).astype(np.uint32)
+            sent = pa.BinaryArray.from_buffers(pa.binary(), len(pages), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(pages.astype(np.int32)), sent], ["page", "counts"])
     return of
 
 
-def _counted(most_words: int, bits, filter_bits: int):
+def _frequent_cells(least_count: int):
+    """(page, bits): the bits of the cells that reach the count, several cells to a bit; rows come in order of page."""
+    def bits(page: int, sums: np.ndarray) -> pa.RecordBatch:
+        reached = (sums >= least_count).reshape(-1, 1 << PAGE_BITS + CELL_BITS - FILTER_BITS).any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([np.packbits(reached, bitorder="little").tobytes()])], ["page", "bits"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, sums = None, np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for other, sent in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if other != page:
+                    if page is not None:
+                        yield bits(page, sums)
+                    page = other
+                    sums[:] = 0
+                packed = np.frombuffer(sent.as_buffer(), np.uint32)
+                np.add.at(sums, packed >> COUNT_BITS, (packed & ((1 << COUNT_BITS) - 1)).astype(np.int64))
+        if page is not None:
+            yield bits(page, sums)
+    return of
+
+
+def _cells(shard: Shard, nodes: Nodes, places: np.ndarray) -> np.ndarray:
+    """The cells of phrases, their pages in the upper bits."""
+    return (shard.hashes(places, nodes.length) >> np.uint64(64 - PAGE_BITS - CELL_BITS)).astype(np.int64)
+
+
+def _counted(most_words: int, bits):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "words", "phrase", "times"]
         table = np.frombuffer(bits.value, np.uint8)
@@ -193,37 +244,34 @@ def _counted(most_words: int, bits, filter_bits: int):
                     nodes, places = lengths.send(frequent)
                 except StopIteration:
                     break
-                bit = shard.hashes(places, nodes.length) & np.uint64((1 << filter_bits) - 1)
-                frequent = (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                bit = _cells(shard, nodes, places) >> (PAGE_BITS + CELL_BITS - FILTER_BITS)
+                frequent = (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 languages, phrases = shard.phrases(places[frequent], nodes.length)
                 yield pa.RecordBatch.from_arrays([languages, pa.array(np.full(len(phrases), nodes.length, np.int32)), phrases,
                                                   pa.array(nodes.count[frequent].astype(np.int64))], names)
     return of
 
 
-def _bit_table(hashes: DataFrame, filter_bits: int) -> bytes:
-    """A bit for every hash, by its last bits: a table of fixed size."""
-    bit = F.col("hash").bitwiseAND((1 << filter_bits) - 1)
-    pages = (hashes.select(F.floor(bit / PAGE_BITS).alias("page"), (bit % PAGE_BITS).alias("bit"))
-             .groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")))
-    table = bytearray(1 << filter_bits - 3)
-    for page, bits in pages.collect():          # at most 2 ** filter_bits bits in all
-        table[page * (PAGE_BITS >> 3):(page + 1) * (PAGE_BITS >> 3)] = bits
+def _bit_table(texts: DataFrame, most_words: int, least_count: int) -> bytes:
+    """A bit for every few cells: 2 ** FILTER_BITS in all, at any size of the input."""
+    counts = texts.mapInArrow(_paged(most_words), "page int, counts binary")
+    pages = counts.repartition("page").sortWithinPartitions("page").mapInArrow(_frequent_cells(least_count), "page int, bits binary")
+    width, table = 1 << FILTER_BITS - PAGE_BITS - 3, bytearray(1 << FILTER_BITS - 3)
+    for page, bits in pages.collect():
+        table[page * width:(page + 1) * width] = bits
     return bytes(table)
 
 
-def phrase_counts(documents: DataFrame, most_words: int = 3, least_count: int = 10, filter_bits: int = 27, lang: str = "lang",
-                  text_col: str = "text") -> DataFrame:
+def phrase_counts(documents: DataFrame, most_words: int = 3, least_count: int = 10, lang: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, words, phrase, times): every phrase of up to ``most_words`` words that is said often enough, its words joined by a space.
 
     The row with 0 words has the number of all words of its language.
     """
-    if not 15 <= filter_bits <= 32:
-        raise ValueError("filter_bits lies between 15 and 32")
+    if not 1 <= least_count < 1 << COUNT_BITS:
+        raise ValueError(f"least_count lies between 1 and {(1 << COUNT_BITS) - 1}")
     texts = documents.select(F.col(lang).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sums = texts.mapInArrow(_hashed(most_words), "hash bigint, times bigint").groupBy("hash").agg(F.sum("times").alias("times"))
-    bits = documents.sparkSession.sparkContext.broadcast(_bit_table(sums.where(F.col("times") >= least_count), filter_bits))
-    counted = (texts.mapInArrow(_counted(most_words, bits, filter_bits), "lang string, words int, phrase string, times bigint")
+    bits = documents.sparkSession.sparkContext.broadcast(_bit_table(texts, most_words, least_count))
+    counted = (texts.mapInArrow(_counted(most_words, bits), "lang string, words int, phrase string, times bigint")
                .groupBy("lang", "words", "phrase").agg(F.sum("times").alias("times")))
     return written(counted.where((F.col("words") == 0) | (F.col("times") >= least_count)), "phrase-counts")
 
@@ -237,7 +285,7 @@ def _stretch(start: Column, length: Column) -> Column:
 
 
 def collocations(documents: DataFrame, most_words: int = 3, least_count: int = 10, covered_percent: int = 50, top: int = 2000,
-                 filter_bits: int = 27, lang: str = "lang", text_col: str = "text") -> DataFrame:
+                 lang: str = "lang", text_col: str = "text") -> DataFrame:
     """Each language's strongest phrases: ``lang, rank, phrase, a, l, r, n, score``.
 
     ``a``, ``l``, ``r`` count the phrase and the two parts of its weakest cut, ``score`` is ``floor(1000000 * a * a / (l * r))`` there, ``n`` counts
@@ -246,7 +294,7 @@ def collocations(documents: DataFrame, most_words: int = 3, least_count: int = 1
     """
     if most_words < 2:
         raise ValueError("a phrase has two words at least")
-    counts = phrase_counts(documents, most_words, least_count, filter_bits, lang, text_col)
+    counts = phrase_counts(documents, most_words, least_count, lang, text_col)
     phrases = counts.where("words > 0").select("lang", "phrase", "times")
     candidates = counts.where("words > 1").select("lang", "phrase", "words", F.col("times").alias("a"), F.split("phrase", " ").alias("parts"))
     cuts = (candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))

@@ -80,18 +80,17 @@ def test_intervals():
                 nodes, length = index.extended(nodes, right), length + 1
 
 
-@pytest.mark.parametrize("filter_bits", [27, 15])
 @pytest.mark.parametrize("most_words,least_count,covered,top", [(3, 10, 50, 2000), (4, 3, 70, 25), (2, 2, 50, 3)])
-def test_small_cases(spark, filter_bits, most_words, least_count, covered, top):
+def test_small_cases(spark, most_words, least_count, covered, top):
     rows = made_rows()
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3).selectExpr("*", "1 as phrase", "2 as words", "3 as a", "4 as rank", "5 as n")
-    result = phrases.collocations(df, most_words, least_count, covered, top, filter_bits)
+    result = phrases.collocations(df, most_words, least_count, covered, top)
     assert result.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     got = sorted(tuple(r) for r in result.collect())
     assert got == plain_collocations(rows, most_words, least_count, covered, top) and len(got) > 8
 
 
-def test_several_shards(spark, monkeypatch):
+def test_several_shards():
     rows = made_rows()
     texts, langs = [t for _, t in rows], [x for x, _ in rows]
     import pyarrow as pa
@@ -104,6 +103,31 @@ def test_several_shards(spark, monkeypatch):
     assert total == plain_counts(rows)[0]
 
 
+def test_cells_bound_the_counts():
+    import pyarrow as pa
+    rows = made_rows()
+    counts, shared = plain_counts(rows)[0], Counter()
+    parts = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows[at:at + 90]], pa.string()), pa.array([t for _, t in rows[at:at + 90]], pa.string())], ["lang", "text"])
+             for at in range(0, len(rows), 90)]
+    sent = pa.Table.from_batches([b for part in parts for b in phrases._paged(3)(iter([part]))]).sort_by("page")
+    for least in (1, 10):
+        table = np.zeros(1 << phrases.FILTER_BITS - 3, np.uint8)
+        pages = [p for b in phrases._frequent_cells(least)(iter(sent.to_batches(max_chunksize=7))) for p in zip(*(c.to_pylist() for c in b.columns))]
+        assert [p for p, _ in pages] == sorted({p for p, _ in pages})
+        width = 1 << phrases.FILTER_BITS - phrases.PAGE_BITS - 3
+        for page, bits in pages:
+            table[page * width:(page + 1) * width] = np.frombuffer(bits, np.uint8)
+        whole = phrases.Shard(pa.array([t for _, t in rows], pa.string()), pa.array([x for x, _ in rows], pa.string()))
+        for nodes, places in phrases._lengths(phrases.PhraseIndex(whole.symbols, 3)):
+            bit = phrases._cells(whole, nodes, places) >> (phrases.PAGE_BITS + phrases.CELL_BITS - phrases.FILTER_BITS)
+            is_set = (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            for lang, phrase, marked in zip(*(x.to_pylist() for x in whole.phrases(places, nodes.length)), is_set):
+                times = counts[lang, tuple(phrase.split(" "))]
+                assert marked or times < least
+                shared[least, bool(marked and times < least)] += 1
+    assert shared[10, True] < 5 and shared[10, False] > 100
+
+
 def test_large_counts_are_exact(spark):
     from pyspark.sql import functions as F
     a, l, r = 9_999_999_999_999, 99_999_999_999_999, 99_999_999_999_998
