@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.runs import HOURS_72, LATEST, ORACLE as RUNS_SQL, SEQ
 from checks.views import VIEWS, view, with_views
 from funnelscope.session import work_dir
-from funnelscope.streaming import state
+from funnelscope.streaming import late, merged, state
 
 QUERIES, ORACLE = {}, {}
 
@@ -63,37 +63,52 @@ def _(spark, sf):
     return landed(spark, judged, "lockout").select("client", "event_id", "outcome")
 
 
+def merged_into(spark, df, name, make):
+    """The merged table of a stream run until its input is used up, compacted once it is."""
+    folder = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    kept = make(f"{folder}/rows")
+    df.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(kept.write).start().awaitTermination()
+    kept.compact()
+    return kept
+
+
 @query("stream_notes_upsert", """
 select audit_id, layer, left(arg_max(text, event_id), 20000) as text from fx_notes where layer in ('1', '2', '3', '4', '5') group by audit_id, layer""", ("fx_notes",))
 def _(spark, sf):
-    folder = f"{work_dir(spark)}/notes-{uuid.uuid4().hex}"
     notes = stream(spark, sf, "fx_notes").withColumn("saved_at", F.col("saved_at").cast("timestamp"))
-    done = state.notes_stream(notes).writeStream.option("checkpointLocation", f"{folder}/progress").trigger(
-        availableNow=True).foreachBatch(state.upsert_notes(f"{folder}/rows")).start()
-    done.awaitTermination()
-    return state.read_notes(spark, f"{folder}/rows").select("audit_id", "layer", "text")
+    kept = merged_into(spark, notes, "notes", lambda folder: merged.notes_table(spark, folder))
+    return kept.read().select("audit_id", "layer", "text")
 
 
 @query("stream_edit_sessions", """
 with g as (select *, case when saved_at - lag(saved_at) over w < interval 6 hours then 0 else 1 end as fresh from fx_notes window w as (partition by audit_id, layer order by saved_at, event_id)),
-s as (select *, sum(fresh) over (partition by audit_id, layer order by saved_at, event_id rows unbounded preceding) as session from g),
-r as (select audit_id, layer, min(saved_at) as session_start, max(saved_at) as last_edit, count(*) as edits, arg_max(text, event_id) as text from s group by audit_id, layer, session)
-select audit_id, layer, session_start, edits, text from r where last_edit + interval 6 hours <= (select max(saved_at) - interval 10 minutes from fx_notes)""", ("fx_notes",))
+s as (select *, sum(fresh) over (partition by audit_id, layer order by saved_at, event_id rows unbounded preceding) as session from g)
+select audit_id, layer, min(saved_at) as session_start, max(saved_at) as last_edit, count(*) as edits, arg_max(text, event_id) as text from s group by audit_id, layer, session""", ("fx_notes",))
 def _(spark, sf):
-    edits = stream(spark, sf, "fx_notes").withColumn("saved_at", F.col("saved_at").cast("timestamp"))
-    sessions = landed(spark, state.edit_sessions_stream(edits, 6 * 3600 * 1000), "sessions")
-    return sessions.withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+    edits = stream(spark, sf, "fx_notes")
+    kept = merged_into(spark, edits, "sessions", lambda folder: merged.sessions_table(spark, folder, 6 * 3600 * 1000, 86_400_000_000))
+    plain = {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "last_edit")}
+    return merged.sessions(kept).withColumns(plain)
 
 
 @query("stream_failure_windows", """
 with f as (select client, epoch_us(ts) as us from fx_attempts where not ok),
 w as (select client, us, unnest(range(cast(floor(us / 3600000000.0) as bigint) - 5, cast(floor(us / 3600000000.0) as bigint) + 1)) as h from f)
-select client, make_timestamp((h + 6) * 3600000000) as until, count(*) as failures from w
-where (h + 6) * 3600000000 <= (select epoch_us(max(ts)) - 600000000 from fx_attempts where not ok) group by client, h""", ("fx_attempts",))
+select client, make_timestamp((h + 6) * 3600000000) as until, count(*) as failures from w group by client, h""", ("fx_attempts",))
+def _(spark, sf):
+    kept = merged_into(spark, stream(spark, sf, "fx_attempts"), "failures", lambda folder: merged.failure_windows_table(spark, folder, 6 * 3600, "1 hour"))
+    return kept.read().withColumn("until", F.col("until").cast("timestamp_ntz"))
+
+
+@query("stream_late_split", "select audit_id, event_id, type from fx_events", ("fx_events",))
 def _(spark, sf):
-    attempts = stream(spark, sf, "fx_attempts").withColumn("ts", F.col("ts").cast("timestamp"))
-    windows = landed(spark, state.failure_windows_stream(attempts, 6 * 3600, "1 hour"), "failures")
-    return windows.withColumn("until", F.col("until").cast("timestamp_ntz"))
+    """Main and late rows together: every event once."""
+    folder = f"{work_dir(spark)}/late-{uuid.uuid4().hex}"
+    events = stream(spark, sf, "fx_events").withColumn("ts", F.col("ts").cast("timestamp")).select("audit_id", "event_id", "type", "ts")
+    late.tagged(events, "ts").writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(
+        late.split_late(folder)).start().awaitTermination()
+    rows = late.main_rows(spark, folder, events.schema).unionByName(late.late_rows(spark, folder, events.schema))
+    return rows.select("audit_id", "event_id", "type")
 
 
 @query("stream_log_tail", """

@@ -86,24 +86,43 @@ def session_starts(df: DataFrame, keys: list[str], us: str, ties: list[str], is_
             .withColumn(name, F.coalesce("_running", "_carried_start")).drop("_prev", "_inner", "_running", "_carried_start", "_bucket"))
 
 
+def merged_starts(df: DataFrame, keys: list[str], first: str, last: str, is_break, name: str, width: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """``name`` = the start of the chain of intervals that the row's interval belongs to.
+
+    Intervals of a key chain up in order of ``first``; ``is_break(reach, first)`` tells where the furthest end so far ends a chain.
+    Both that reach and the start of the open chain are carried along the key as one row per bucket.
+    """
+    rows = _with_bucket(df, first, width)
+    staged = _carry(rows, keys, [F.max(last).alias("_reach")], [F.max("_reach").over(_before(keys)).alias("_carried_reach")])
+    # intervals that begin together open a chain together, whatever their order
+    earlier = W.partitionBy(*keys, "_bucket").orderBy(first).rangeBetween(W.unboundedPreceding, -1)
+    reach = F.greatest("_carried_reach", F.max(last).over(earlier))
+    opened = staged.withColumn("_reach", reach).withColumn("_opens", F.when(
+        F.col("_reach").isNull() | is_break(F.col("_reach"), F.col(first)), F.col(first))).drop("_bucket", "_carried_reach", "_reach")
+    return last_before(opened, keys, first, [last], F.col("_opens"), name, True, width).drop("_opens")
+
+
 def trailing_count(probes: DataFrame, hits: DataFrame, keys: list[str], us: str, tie: str, window_us: int,
                    name: str, width: int = DEFAULT_BUCKET_US) -> DataFrame:
     """Probes with ``name`` = hits of the same key strictly before them and strictly newer than ``us - window_us``.
 
     Written as the difference of two running counts (before the probe, minus up to the window's edge),
-    so no frame is ever scanned. ``tie`` (a bigint) orders rows of equal time and tells probes apart.
+    so no frame is ever scanned. ``tie`` (a bigint) orders rows of equal time. Rows that come several times stay as many, and
+    a repeated hit counts each time.
     """
     last = F.lit(2**63 - 1)
     row, nothing = F.struct(*probes.columns), F.lit(None).cast(probes.select(F.struct(*probes.columns)).schema[0].dataType)
     marks = F.array(
         F.struct(F.col(us).alias("at"), F.col(tie).alias("tie"), F.lit(1).alias("sign"), row.alias("row")),
-        F.struct((F.col(us) - window_us).alias("at"), last.alias("tie"), F.lit(-1).alias("sign"), nothing.alias("row")))
+        F.struct((F.col(us) - window_us).alias("at"), last.alias("tie"), F.lit(-1).alias("sign"), row.alias("row")))
     asked = (probes.select(*keys, F.col(tie).alias("probe"), F.explode(marks).alias("m"))
              .select(*keys, "probe", "m.*", F.lit(0).alias("hit")))
     happened = hits.select(*keys, F.lit(None).cast("bigint").alias("probe"), F.col(us).alias("at"), F.col(tie).alias("tie"),
                            F.lit(0).alias("sign"), nothing.alias("row"), F.lit(1).alias("hit"))
     # a probe at its own hit sorts first, so that hit is not counted
     counted = running_sum(asked.unionByName(happened), keys, "at", ["tie", "hit"], F.col("hit"), "so_far", width)
-    return (counted.filter(F.col("sign") != 0).groupBy(*keys, "probe")
-            .agg(F.sum(F.col("sign") * F.col("so_far")).alias(name), F.first("row", ignorenulls=True).alias("row"))
-            .select("row.*", name))
+    # copies of a probe have the same counts: one sum of all of them, dealt out again
+    copies = F.count_if(F.col("sign") == 1)
+    summed = (counted.filter(F.col("sign") != 0).groupBy(*keys, "probe", "row")
+              .agg(F.expr("sum(sign * so_far) div count_if(sign = 1)").alias(name), copies.cast("int").alias("copies")))
+    return summed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*", name)

@@ -1,4 +1,5 @@
-"""Streaming forms of the run-state operators. Event time is ``ts``; late rows are counted, not lost silently.
+"""Streaming forms of the run-state operators. Event time is ``ts``. ``merged`` has the tables that take rows in any order, ``late`` tells
+rows behind the watermark apart.
 
 Stateless ones (``step_phase``, ``elapsed_clock``, ``events_replay`` without its sort) run on streams as they are.
 """
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from funnelscope import fixed_values as fv
-from funnelscope.operators.runstate import valid_notes
 
 WATERMARK = "10 minutes"
 
@@ -47,26 +47,6 @@ def layer_state_stream(events: DataFrame) -> DataFrame:
             .agg(F.max_by("status", F.struct("ts", "event_id")).alias("status")))
 
 
-def notes_stream(notes: DataFrame) -> DataFrame:
-    """Valid note saves without redelivered copies, ready for ``upsert_notes``."""
-    return valid_notes(notes).withWatermark("saved_at", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def edit_sessions_stream(edits: DataFrame, gap_ms: int = fv.NOTE_SAVE_DELAY_MS) -> DataFrame:
-    """Session windows over note edits; a session is emitted once the watermark has passed it."""
-    session = F.session_window("saved_at", f"{gap_ms} milliseconds")
-    return (edits.withWatermark("saved_at", WATERMARK).groupBy("audit_id", "layer", session)
-            .agg(F.count(F.lit(1)).alias("edits"), F.max_by("text", F.struct("saved_at", "event_id")).alias("text"))
-            .select("audit_id", "layer", F.col("session_window.start").alias("session_start"), "edits", "text"))
-
-
-def failure_windows_stream(attempts: DataFrame, window_s: int = fv.LOGIN_WINDOW_SECONDS, slide: str = "1 minute") -> DataFrame:
-    """Failures per client in sliding windows, for alerting on a stream."""
-    return (attempts.filter(~F.col("ok")).withWatermark("ts", WATERMARK)
-            .groupBy("client", F.window("ts", f"{window_s} seconds", slide)).agg(F.count(F.lit(1)).alias("failures"))
-            .select("client", F.col("window.end").alias("until"), "failures"))
-
-
 def lockout_stream(attempts: DataFrame, limit: int = fv.LOGIN_FAILURES, window_s: int = fv.LOGIN_WINDOW_SECONDS) -> DataFrame:
     """``outcome`` of each attempt as it arrives; state per client is at most ``limit`` times and expires with the window."""
     window_us = window_s * 1_000_000
@@ -112,31 +92,3 @@ def log_tail_stream(events: DataFrame, keep: int = fv.LOG_LINES) -> DataFrame:
     return (events.filter(F.col("type") == "log").select("audit_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
             .groupBy("audit_id").applyInPandasWithState(
                 tail, "audit_id bigint, event_id bigint, line bigint", "seen bigint", "append", GroupStateTimeout.NoTimeout))
-
-
-def upsert_notes(folder: str):
-    """``foreachBatch`` sink: the batch's last note per (audit, layer), one sub-folder per batch.
-
-    A replayed batch overwrites its own sub-folder, so the sink is idempotent and never rewrites
-    older ones; ``read_notes`` resolves the latest, and ``compact_notes`` folds them when many pile up.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("audit_id", "layer").agg(
-            F.max(F.struct("saved_at", "event_id", "text")).alias("last")).select("audit_id", "layer", "last.*")
-        last.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-    return write
-
-
-NOTE_SCHEMA = "audit_id bigint, layer string, saved_at timestamp, event_id bigint, text string, batch bigint"
-
-
-def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Current note of every (audit, layer)."""
-    rows = spark.read.schema(NOTE_SCHEMA).parquet(folder)
-    return rows.groupBy("audit_id", "layer").agg(
-        F.max(F.struct("saved_at", "event_id", "text")).alias("last")).select("audit_id", "layer", "last.*")
-
-
-def compact_notes(spark: SparkSession, folder: str, target: str) -> None:
-    """Writes the current notes as a fresh table in ``target``."""
-    read_notes(spark, folder).write.parquet(f"{target}/batch=-1")
