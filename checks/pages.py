@@ -459,7 +459,7 @@ sp1 as (select s.audit_id, s.role, s.site_ord, s.site_url, s.type_ord, s.page_ty
 sp as (select s.*, coalesce(f.title, '') as title, coalesce(f.meta_description, '') as meta_description, coalesce(f.h1, []) as h1, coalesce(f.h2, []) as h2, coalesce(f.ctas, []) as ctas, coalesce(f.forms, []) as forms,
    coalesce(f.cta_texts, []) as cta_texts, coalesce(f.schema_types, []) as schema_types, coalesce(f.prices, []) as prices, coalesce(left(f.text, 6000), '') as text_excerpt, f.mode
   from sp1 s left join feat f on f.url = s.requested_url and f.mode = case when s.shown then 'rendered' else 'standard' end),
-lp as (select sp.*, site_ord * 10 + type_ord as page_ord, layer from sp cross join (values (1), (2), (3), (4), (5)) l(layer)
+lp as (select * from (select sp.*, site_ord * 10 + type_ord as page_ord, unnest([1, 2, 3, 4, 5]) as layer from sp) p
   where case layer when 2 then role = 'target' and type_ord = 0 when 4 then role = 'target' and type_ord = 4 when 5 then role <> 'target' or type_ord in (0, 1) else role = 'target' end),
 """
 

@@ -139,6 +139,28 @@ def _(spark, sf):
     return checkpoints.checkpoint_read(spark, folder)
 
 
+@query("checkpoint_resume", """
+with done as (select audit_id, layer, arg_max(text, event_id) as notes from fx_events where type = 'layer' and status = 'done' group by audit_id, layer),
+a as (select audit_id, count(*) filter (type = 'layer' and status = 'done' and layer = 5) > 0 as fifth from fx_events group by audit_id),
+s as (select audit_id, case when audit_id % 11 = 0 then 'none' when audit_id % 7 = 0 then 'other target' when audit_id % 5 = 0 and fifth then 'competitors changed' else 'resumed' end as state from a)
+select s.audit_id, state, case when state in ('none', 'other target') then null else 'growth' end as keyword, case when state in ('none', 'other target') then null else 'https://s' || s.audit_id end as source,
+  coalesce(string_agg(layer || ':' || coalesce(notes, ''), '|' order by layer) filter (state = 'resumed' or state = 'competitors changed' and layer <> 5), '') as completed
+from s left join done on done.audit_id = s.audit_id group by s.audit_id, state""", ("fx_events",))
+def _(spark, sf):
+    events, folder = view(spark, sf, "fx_events"), f"{work_dir(spark)}/checkpoints-{uuid.uuid4().hex}"
+    done = events.filter("type = 'layer' and status = 'done'").select("audit_id", "layer", F.col("text").alias("notes"), F.col("ts").alias("finished_at"))
+    checkpoints.checkpoint_write(done, f"{folder}/layers")
+    made = events.groupBy("audit_id").agg(F.max("ts").cast("timestamp").alias("saved_at")).selectExpr(
+        "audit_id", "concat('https://c', audit_id) as url", "'teams' as icp", "array('a', 'b') as competitors", "array('growth') as keywords",
+        "map('Home', concat('https://s', audit_id)) as sources", "saved_at")
+    checkpoints.headers_write(made, f"{folder}/headers")
+    checkpoints.checkpoints_remove(made.filter("audit_id % 11 = 0").withColumnRenamed("saved_at", "removed_at"), f"{folder}/removed")
+    asked = made.selectExpr("audit_id", "if(audit_id % 7 = 0, 'https://other', url) as url", "icp", "if(audit_id % 5 = 0, array('a'), competitors) as competitors")
+    found = checkpoints.checkpoint_resume(spark, asked, f"{folder}/layers", f"{folder}/headers", f"{folder}/removed")
+    listed = F.array_join(F.transform("completed", lambda x: F.concat(x["layer"].cast("string"), F.lit(":"), F.coalesce(x["notes"], F.lit("")))), "|")
+    return found.select("audit_id", "state", F.get("keywords", 0).alias("keyword"), F.col("sources")["Home"].alias("source"), listed.alias("completed"))
+
+
 # ---- event logs ---------------------------------------------------------------------------------
 SEQ = """
 sq as (select *, row_number() over (partition by audit_id order by ts, event_id) - 1 as seq,
