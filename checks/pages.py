@@ -640,3 +640,14 @@ select c.audit_id, c.site_url as competitor, c.has_price, c.has_calculator, c.pr
   t.primary_cta as target_primary_cta, t.has_faq as target_has_faq from ps c join ps t on t.audit_id = c.audit_id and t.role = 'target' where c.role = 'competitor'"""), VW)
 def _(spark, sf):
     return layers.competitive_matrix(pages_of_audits(spark, sf))
+
+
+@query("competitive_means", o(SITE_PAGES + """
+calc as (select distinct url, mode from links where contains(lower(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1)), 'calculator')),
+ps as (select audit_id, role, sp.site_url, bool_or(ok and len(prices) > 0) as has_price, bool_or(ok and calc.url is not null) as has_calculator,
+   max(cta_texts[1]) filter (page_type = 'home') as primary_cta, bool_or(list_contains(schema_types, 'FAQPage')) as has_faq
+  from sp left join calc on calc.url = sp.requested_url and calc.mode = sp.mode group by audit_id, role, sp.site_url)
+select audit_id, role, cast(grouping(audit_id, role) as int) as level, count(*) as sites, avg(case when has_price then 1.0 else 0.0 end) as price_share,
+  avg(case when has_calculator then 1.0 else 0.0 end) as calculator_share, avg(case when has_faq then 1.0 else 0.0 end) as faq_share from ps group by rollup (audit_id, role)"""), VW)
+def _(spark, sf):
+    return layers.competitive_means(pages_of_audits(spark, sf))

@@ -111,6 +111,15 @@ def _(spark, sf):
     return rows.select("audit_id", "event_id", "type")
 
 
+@query("stream_progress", RUNS_SQL["progress_percent"])
+def _(spark, sf):
+    # as in the batch form, a failed completion stands for a run that ended in an error
+    failed = (F.col("type") == "complete") & (F.col("status") == "failed")
+    events = stream(spark, sf, "fx_events").withColumn("status", F.when(failed, "error").otherwise(F.col("status")))
+    kept = merged_into(spark, events, "progress", lambda folder: merged.progress_table(spark, folder))
+    return merged.progress(kept)
+
+
 @query("stream_log_tail", """
 select audit_id, event_id from (select *, row_number() over (partition by audit_id order by ts desc, event_id desc) as back from fx_events where type = 'log') q where back <= 5""", ("fx_events",))
 def _(spark, sf):

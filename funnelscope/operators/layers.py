@@ -128,20 +128,36 @@ def upfront_information(pages: DataFrame) -> DataFrame:
         F.array_contains(page_type_match(F.lit(""), F.col("url")), "signup").alias("is_signup")))
 
 
-def competitive_matrix(pages: DataFrame) -> DataFrame:
-    """Each competitor next to its audit's target: published price, calculator page, first CTA, FAQ markup.
-
-    One grouping by (audit, site) of the site pages; the target's row then meets its competitors'
-    through a join on the audit, which holds one target row each.
-    """
+def _site_facts(pages: DataFrame) -> DataFrame:
+    """One row per site of an audit: published price, calculator page, first CTA, FAQ markup."""
     calculator = F.exists("links", lambda link: F.contains(F.lower(url_path(link["href"])), F.lit("calculator")))
     home = F.col("page_type") == "home"
-    per_site = pages.groupBy("audit_id", "role", "site_url").agg(
+    return pages.groupBy("audit_id", "role", "site_url").agg(
         F.bool_or(F.col("ok") & (F.size("prices") > 0)).alias("has_price"),
         F.bool_or(F.col("ok") & calculator).alias("has_calculator"),
         F.max(F.when(home, cta_text(F.try_element_at("ctas", F.lit(1))))).alias("primary_cta"),
         F.bool_or("has_faq_schema").alias("has_faq"))
+
+
+def competitive_matrix(pages: DataFrame) -> DataFrame:
+    """Each competitor next to its audit's target: published price, calculator page, first CTA, FAQ markup.
+
+    One grouping by (audit, site) of the site pages; the target's row then meets its competitors'
+    through a join on the audit, which holds one target row each.
+    """
+    per_site = _site_facts(pages)
     facts = ["has_price", "has_calculator", "primary_cta", "has_faq"]
     target = per_site.filter(F.col("role") == "target").select("audit_id", *[F.col(c).alias(f"target_{c}") for c in facts])
     return (per_site.filter(F.col("role") == "competitor").select("audit_id", F.col("site_url").alias("competitor"), *facts)
             .join(target, "audit_id"))
+
+
+def competitive_means(pages: DataFrame) -> DataFrame:
+    """Shares of sites with a price, a calculator and FAQ markup, per audit and role, per audit, and over all audits.
+
+    ``level`` tells the three apart: 0, 1 (``role`` is null) and 3 (both are null). Sums are combined before the shuffle, so the total is
+    no task of its own. A site without a known answer counts as one without.
+    """
+    share = lambda c: F.avg(F.when(F.col(c), 1.0).otherwise(0.0)).alias(f"{c[4:]}_share")
+    return _site_facts(pages).rollup("audit_id", "role").agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("sites"), share("has_price"), share("has_calculator"), share("has_faq"))

@@ -40,18 +40,29 @@ def layer_state_latest(events: DataFrame, order: str = "seq") -> DataFrame:
             .agg(F.max_by("status", order).alias("status")))
 
 
-def progress_percent(events: DataFrame, order: str = "seq") -> DataFrame:
-    """Progress bar per audit: layer states folded with the report step and the completion."""
+def progress_slots(events: DataFrame, order: Column) -> DataFrame:
+    """What the progress bar needs of events: (audit_id, slot, latest, report, complete), a slot per layer and 0 for all other events.
+
+    ``latest`` is the slot's last status with its place in ``order``. Slots of parts of the events merge by ``merged_slots``.
+    """
     kind = F.col("type")
-    # a status per (audit, layer); other events collapse to one row per (audit, kind)
-    slots = events.filter(kind.isin("layer", "step", "complete")).groupBy(
-        "audit_id", F.when(kind == "layer", F.col("layer")).otherwise(0).alias("slot")).agg(
-        F.max_by(F.when(kind == "layer", F.col("status")), F.when(kind == "layer", F.col(order))).alias("status"),
-        F.max((kind == "step") & (step_phase(F.col("step")) == "report")).alias("report"),
-        F.max((kind == "complete") & (F.coalesce("status", F.lit("")) != "error")).alias("complete"))
-    is_layer = F.col("slot").between(1, 5)
-    points = F.when(is_layer & F.col("status").isin("done", "failed"), 17).when(
-        is_layer & (F.col("status") == "running"), 5).otherwise(0)
+    layer = kind == "layer"
+    return merged_slots(events.filter(kind.isin("layer", "step", "complete")).select(
+        "audit_id", F.when(layer, F.col("layer")).otherwise(0).alias("slot"),
+        F.when(layer, F.struct(order.alias("at"), F.col("status").alias("status"))).alias("latest"),
+        ((kind == "step") & (step_phase(F.col("step")) == "report")).alias("report"),
+        ((kind == "complete") & (F.coalesce("status", F.lit("")) != "error")).alias("complete")))
+
+
+def merged_slots(slots: DataFrame) -> DataFrame:
+    return slots.groupBy("audit_id", "slot").agg(F.max_by("latest", "latest.at").alias("latest"),
+                                                 F.max("report").alias("report"), F.max("complete").alias("complete"))
+
+
+def slots_percent(slots: DataFrame) -> DataFrame:
+    """Progress bar per audit from merged slots."""
+    is_layer, status = F.col("slot").between(1, 5), F.col("latest.status")
+    points = F.when(is_layer & status.isin("done", "failed"), 17).when(is_layer & (status == "running"), 5).otherwise(0)
     summed = slots.groupBy("audit_id").agg(
         F.sum(points).alias("points"), F.bool_or(F.col("slot") > 0).alias("began"),
         F.bool_or("report").alias("report"), F.bool_or("complete").alias("complete"))
@@ -60,6 +71,11 @@ def progress_percent(events: DataFrame, order: str = "seq") -> DataFrame:
         F.col("report"), F.greatest(bar, F.lit(93))).otherwise(bar).cast("int").alias("percent"))
 
 
+def progress_percent(events: DataFrame, order: str = "seq") -> DataFrame:
+    """Progress bar per audit: layer states folded with the report step and the completion."""
+    return slots_percent(progress_slots(events, F.col(order)))
+
+
 def elapsed_clock(seconds: Column) -> Column:
     s = F.greatest(F.floor(seconds), F.lit(0)).cast("bigint")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from funnelscope import fixed_values as fv
-from funnelscope.operators.runstate import valid_notes
+from funnelscope.operators.runstate import merged_slots, progress_slots, slots_percent, valid_notes
 from funnelscope.operators.timeline import DEFAULT_BUCKET_US, merged_starts, micros
 
 DELTA, BASE, COMMITTED = "batch=", "upto=", "_SUCCESS"
@@ -110,3 +110,19 @@ def failure_windows_table(spark: SparkSession, folder: str, window_s: int = fv.L
     def summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy("client", "until").agg(F.sum("failures").alias("failures"))
     return MergedTable(spark, folder, "client bigint, until timestamp, failures bigint", summed, pieces)
+
+
+def progress_table(spark: SparkSession, folder: str) -> MergedTable:
+    """Last status of each layer, report step and completion of each audit; ``progress`` reads the bar off them.
+
+    A layer's newer status takes the place of its former one, whichever comes first.
+    """
+    def pieces(events: DataFrame) -> DataFrame:
+        return progress_slots(events, F.struct(micros(F.col("ts")).alias("us"), F.col("event_id").cast("bigint").alias("event_id")))
+    schema = ("audit_id bigint, slot int, latest struct<at: struct<us: bigint, event_id: bigint>, status: string>, report boolean, complete boolean")
+    return MergedTable(spark, folder, schema, merged_slots, pieces)
+
+
+def progress(table: MergedTable) -> DataFrame:
+    """``audit_id, percent`` as of the batches written so far."""
+    return slots_percent(table.read())

@@ -156,3 +156,23 @@ def test_repeated_attempts_stay(spark):
     rows = [(1, 1, at(0), False), (1, 2, at(1), False), (1, 2, at(1), False), (1, 3, at(2), True), (1, 3, at(2), True), (1, 4, at(9), False)]
     got = runstate.failure_rate_window(spark.createDataFrame(rows, ATTEMPTS), 300, 60_000_000)
     assert rows_of(got, "event_id", "recent_failures") == [(1, 0), (2, 1), (2, 1), (3, 3), (3, 3), (4, 0)]
+
+
+def test_progress_in_any_order(spark, tmp_path):
+    draw = random.Random(12)
+    schema = "audit_id long, event_id long, ts timestamp, type string, layer int, step int, status string"
+    rows = []
+    for i in range(260):
+        kind = draw.choice(["layer", "layer", "layer", "step", "log"] + ["complete"] * (i % 9 == 0))
+        rows.append((draw.randrange(1, 30), i, at(draw.randrange(0, 200)), kind, draw.randrange(1, 6) if kind == "layer" else None,
+                     draw.randrange(1, 9) if kind == "step" else None, draw.choice(["running", "done", "failed", "pending", None]) if kind == "layer" else draw.choice(["error", None])))
+    table = merged.progress_table(spark, f"{tmp_path}/progress")
+
+    def sink(batch, batch_id):
+        table.write(batch, batch_id)
+        if batch_id == 2:
+            table.compact()
+    run(files(spark, tmp_path, rows, schema), sink, tmp_path)
+    batch = spark.createDataFrame(rows, schema).withColumn("place", F.struct("ts", "event_id"))
+    expected = rows_of(runstate.progress_percent(batch, "place"), "audit_id", "percent")
+    assert rows_of(merged.progress(table), "audit_id", "percent") == expected and len({p for _, p in expected}) > 4
