@@ -53,3 +53,13 @@ def test_every_alignment(spark):
 
 def test_empty(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_packets_and_buckets(spark):
+    """A passage in every document, passages in two and in none, long and short texts, over many packets and buckets."""
+    shared = " ".join(f"s{i}" for i in range(50))
+    rows = [(i, f"{' '.join(f'x{i}y{j}' for j in range(i % 40))} {shared} {' '.join(f'p{i // 2}q{j}' for j in range(i % 2, 60))}") for i in range(60)]
+    rows += [(100, " ".join(f"r{j % 900}" for j in range(3000))), (101, "short"), (102, None), (59, rows[59][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = repeats.without_repeats(df, 35, packet_bytes=2000, bucket_bytes=500)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_force(rows, 35)
