@@ -1,287 +1,205 @@
-"""Toxicity by two Kneser-Ney models of how words are written, one of toxic and one of ordinary text.
+"""Toxicity by two smoothed word models, one of toxic and one of ordinary text, that back off to counts they share.
 
-A word (lower-cased A-Z) is a run of symbols between word ends; the models predict each symbol, and the end, from the four
-symbols before it inside the word, so inflected and rare expressions share the counts of what they are built from. For
-class ``c``, symbol ``w``, context ``h4`` and its last two and one symbols ``h2``, ``h1``:
+A word is a run of bytes outside ``\\x20 \\x09-\\x0D``, lower-cased A-Z, without ASCII marks at its ends. For class ``c``, with
+``n_c(w)`` occurrences of ``w`` and ``N_c`` of all words:
 
-    P_c(w | h4) = max(n_c(h4 w) - D, 0) / n_c(h4) + D t_c(h4) / n_c(h4) * P_c(w | h2)     t: distinct symbols after h4
-    P_c(w | h2) = max(k_c(h2 w) - D, 0) / k_c(h2) + D u_c(h2) / k_c(h2) * P(w | h1)       k: distinct contexts h4 of (h2, w)
-    P(w | h1)   = (distinct symbols before (h1, w), over both classes, + 1 / 64) / their sum
+    P_c(w) = max(n_c(w) - D, 0) / N_c + sum over v of min(n_c(v), D) / N_c * P(w)
+    P(w)   = (m(w) + 1) / (M + V + 1)        m: labelled documents with w, over both classes; M: their sum; V: distinct words
 
-The lowest level is shared by the classes, so what neither has seen counts the same for both. A text's evidence is the log
-of the mean over its words of ``P_toxic / P_ordinary`` (and over ``PRIOR_WORDS`` words of ratio one): it does not grow with length, and a few
-plain expressions are not drowned by many ordinary words, as in a mean of logarithms. A logistic curve turns it into a score; the
-curve is fitted to the evidence of all labelled rows, each judged by counts without its own.
+The lower level counts a word by the documents it stands in, not by how often (continuation counts, a document being the
+context), and is shared, so a word that no class has more than ``D`` times says the same, whatever it is: such words need no row
+in the models. A text's evidence is the log of the mean over its words of ``P_toxic / P_ordinary`` (and over ``PRIOR_WORDS`` words
+of ratio one), which does not grow with length. The difference of the mean log-likelihoods ranks far worse: a few toxic words drown in the
+noise of the ordinary ones, and so it does with the word before as context (figures in the README, from folds of the learning rows alone).
 
-Bytes map to 64 symbols and contexts of four to ``2^CONTEXT_BITS`` rows. The counts are taken over all labelled rows,
-in Spark, and what is gathered grows with the labelled text until the rows are in use; the tables' size (36 MB, a few
-when packed for the broadcast) is fixed by these parameters, not by the data. The number of distinct contexts is the sum over occurrences of one over the
-n-gram's count, which needs no list of n-grams.
+Counts are Spark tables over all labelled rows and grow with them. The curve ``sigmoid(offset + slope * evidence)`` is fitted to
+at most ``CURVE_ROWS`` labelled rows, each judged by counts without its own. Up to ``BROADCAST_WORDS`` words the models are
+broadcast; beyond that texts meet them by a join on the words. Both ways give the same scores.
 
-Null and empty texts have evidence 0. Repeated rows get equal scores. With one label only, or none, the score is the
-share of label 1 (0.5 without labels). Other columns stay.
+Null, empty and blank texts have evidence 0. Texts of any length are read whole. Repeated rows get equal scores. With one label only, or
+none, the score is the share of label 1 (0.5 without labels); an empty table gives an empty one. Other columns stay; an input
+column with the name of the score is replaced.
 """
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from funnelscope.llm import hashing
 from funnelscope.llm.labelled import with_labels
 from funnelscope.llm.store import written
 
-CONTEXT_BITS = 16
-CONTEXTS, PAIRS, SYMBOLS = 1 << CONTEXT_BITS, 1 << 12, 64
-BLOCK = 1 << 13
-DISCOUNT = 0.75
-EVIDENCE_BINS, EVIDENCE_RANGE = 4000, 8.0   # evidence beyond the range counts as its end
-PRIOR_WORDS = 8      # words without evidence that every text is taken to have, so that one odd word does not decide a short text
-MOST_OF_A_WORD = 6.0
-END = 26
-# Symbols: letters, word end, digits, four kinds of marks, and bytes beyond ASCII by their low five bits.
-SYMBOL = np.arange(256, dtype=np.int64)
-SYMBOL[128:] = 32 + (SYMBOL[128:] & 31)
-SYMBOL[:128] = 28 + (SYMBOL[:128] & 3)
-SYMBOL[97:123] = np.arange(26)
-SYMBOL[48:58] = 27
-
-
-class Written:
-    """The distinct words of a column as symbols with their contexts, and the words of each text.
-
-    ``of``: the text of each word; ``which``: its distinct word; ``size``: words of each text; for each predicted symbol
-    ``word`` (distinct word), ``row`` (four symbols before), ``pair`` (two symbols before) and ``next`` (the symbol).
-    """
+DISCOUNT = 1.0
+PRIOR_WORDS = 8             # words of ratio one that every text is taken to have, so that one odd word does not decide a short text
+CURVE_ROWS = 12_000
+BROADCAST_WORDS = 8_000_000  # 16 bytes each
+MARK = np.zeros(256, bool)
+MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+class TextWords:
+    """Hashes of the words of a column (``hashes``), the text each stands in (``of``) and the number of words of each text (``size``)."""
 
     def __init__(self, column: pa.Array):
         words = hashing.Words(hashing.Texts(column, lower=True))
-        self.texts, self.size = len(column), words.counts()
-        self.of = np.repeat(np.arange(len(column)), self.size)
-        _, first, self.which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        starts, lengths = words.starts[first], (words.ends - words.starts)[first]
-        self.words = len(first)
-        begin = np.concatenate([[0], np.cumsum(lengths + 5)])
-        symbols = np.full(begin[-1], END, np.int64)
-        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        symbols[np.repeat(begin[:-1] + 4, lengths) + inside] = SYMBOL[words.data[np.repeat(starts, lengths) + inside]]
-        at = np.arange(begin[-1]) - np.repeat(begin[:-1], lengths + 5) >= 4
-        at = np.flatnonzero(at)
-        self.word = np.repeat(np.arange(self.words), lengths + 1)
-        self.next = symbols[at]
-        self.pair = symbols[at - 1] | symbols[at - 2] << 6
-        four = self.pair | symbols[at - 3] << 12 | symbols[at - 4] << 18
-        self.row = (four * 2654435761 & 0xFFFFFFFF) >> (32 - CONTEXT_BITS)
-
-    def times(self, chosen: np.ndarray) -> np.ndarray:
-        """How often each distinct word stands in the chosen texts."""
-        return np.bincount(self.which[chosen[self.of]], minlength=self.words)
-
-
-class Models:
-    """Both classes' tables: ``grams[c]`` by row and symbol, ``contexts[c]`` by pair and symbol."""
-
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray):
-        self.grams, self.contexts = grams.reshape(2, CONTEXTS, SYMBOLS), contexts.reshape(2, PAIRS, SYMBOLS)
-        self.total, self.after = self.grams.sum(2), (self.grams > 0).sum(2)
-        self.pair_total, self.pair_after = self.contexts.sum(2), (self.contexts > 0).sum(2)
-        before = (self.contexts.sum(0).reshape(64, 64, SYMBOLS) > 0).sum(0)
-        self.shared = (before + 1 / SYMBOLS) / (before.sum(1, keepdims=True) + 1)
-
-    def word_evidence(self, text: Written, own: int | None = None) -> np.ndarray:
-        """``log P_toxic - log P_ordinary`` of each distinct word; without the text's own counts in the class ``own``."""
-        lowest, logs = self.shared[text.pair & 63, text.next], []
-        for c in (0, 1):
-            gram, total, after = self.grams[c][text.row, text.next], self.total[c][text.row], self.after[c][text.row]
-            context, pair_total = self.contexts[c][text.pair, text.next], self.pair_total[c][text.pair]
-            if c == own:
-                keys, first, at = np.unique(text.row * SYMBOLS + text.next, return_index=True, return_inverse=True)
-                times = np.bincount(text.which, minlength=text.words)[text.word]
-                mine = np.bincount(at, times)
-                lost = (mine >= gram[first]).astype(np.float64)  # n-grams that only this text has
-                of_row, of_pair = np.unique(keys >> 6, return_inverse=True)[1], np.unique(text.pair[first], return_inverse=True)[1]
-                of_context = np.unique(text.pair[first] * SYMBOLS + text.next[first], return_inverse=True)[1]
-                gram, total = gram - mine[at], total - np.bincount(of_row, mine)[of_row][at]
-                after = after - np.bincount(of_row, lost)[of_row][at]
-                context = context - np.bincount(of_context, lost)[of_context][at]
-                pair_total = pair_total - np.bincount(of_pair, lost)[of_pair][at]
-            some = np.maximum(pair_total, 1e-9)
-            rest = np.where(pair_total > 0.5, np.minimum(DISCOUNT * self.pair_after[c][text.pair] / some, 1), 1)
-            middle = np.where(pair_total > 0.5, np.maximum(context - DISCOUNT, 0) / some, 0) + rest * lowest
-            some = np.maximum(total, 1e-9)
-            rest = np.where(total > 0.5, np.minimum(DISCOUNT * np.maximum(after, 1) / some, 1), 1)
-            logs.append(np.log(np.where(total > 0.5, np.maximum(gram - DISCOUNT, 0) / some, 0) + rest * middle))
-        return np.bincount(text.word, logs[1] - logs[0], text.words) if text.words else np.zeros(0)
-
-    def evidence_without_own(self, column: pa.Array, labels: np.ndarray) -> np.ndarray:
-        """Evidence of texts that the counts include, each by counts without its own."""
-        out = np.zeros(len(column))
-        for i, label in enumerate(labels):
-            text = Written(column.slice(i, 1))
-            if text.words:
-                out[i] = bounded(ratio(self.word_evidence(text, int(label)))[text.which].sum(), len(text.which))
-        return out
-
-    def evidence(self, text: Written) -> np.ndarray:
-        """Log of the mean ratio over the words of each text."""
-        if not text.words:
-            return np.zeros(text.texts)
-        return bounded(np.bincount(text.of, ratio(self.word_evidence(text))[text.which], text.texts), text.size)
-
-
-def packed(*tables: np.ndarray) -> bytes:
-    """Tables for a broadcast: mostly zeros, so a few megabytes when compressed."""
-    return zlib.compress(pickle.dumps(tables), 1)
-
-
-def unpacked(tables: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zlib.decompress(tables))
-
-
-def ratio(log_ratio: np.ndarray) -> np.ndarray:
-    """Likelihood ratios of words; one word counts for ``e^MOST_OF_A_WORD`` at most."""
-    return np.exp(np.minimum(log_ratio, MOST_OF_A_WORD))
-
-
-def bounded(total: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Log of the mean ratio over the words, with the prior words, within the range."""
-    return np.clip(np.log((total + PRIOR_WORDS) / (words + PRIOR_WORDS)), -EVIDENCE_RANGE, EVIDENCE_RANGE)
-
-
-def _emitted(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Sums of one task as rows (table, class, block, values)."""
-    for name, table in tables.items():
-        for c in (0, 1):
-            rows = [(b, table[c][b * BLOCK:(b + 1) * BLOCK]) for b in range(-(-table.shape[1] // BLOCK))]
-            rows = [(b, x) for b, x in rows if x.any()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([name] * len(rows)), pa.array([c] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()),
-                    pa.array([x.astype(np.float32).tobytes() for _, x in rows], pa.binary())], ["name", "class", "block", "sums"])
-
-
-SUMS = "name string, class int, block int, sums binary"
-
-
-def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of one table: the sum over all tasks, one batch at a time."""
-    total = None
+        of, data = np.repeat(np.arange(len(column)), words.counts()), words.data
+        starts, ends = words.starts.copy(), words.ends.copy()
+        todo = np.arange(len(starts))
+        while len(todo := todo[(starts[todo] < ends[todo]) & MARK[data[np.minimum(starts[todo], len(data) - 1)]]]):
+            starts[todo] += 1
+        todo = np.arange(len(starts))
+        while len(todo := todo[(starts[todo] < ends[todo]) & MARK[data[ends[todo] - 1]]]):
+            ends[todo] -= 1
+        some = starts < ends
+        words.starts, words.ends, self.of = starts[some], ends[some], of[some]
+        self.hashes = words.hashes().view(np.int64)
+        self.size = np.bincount(self.of, minlength=len(column))
+
+    def by_text(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word, times) of the distinct words of each text."""
+        order = np.lexsort((self.hashes, self.of))
+        of, word = self.of[order], self.hashes[order]
+        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (word[1:] != word[:-1])])) if len(of) else np.zeros(0, np.int64)
+        return of[new], word[new], np.diff(np.append(new, len(of)))
+
+
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for x in batch.column("sums"):
-            x = np.frombuffer(x.as_buffer(), np.float32)
-            total = x.astype(np.float64) if total is None else total + x
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.int32()),
-                                      pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["name", "class", "block", "sums"])
+        for part in hashing.slices(batch, "text"):
+            of, word, times = TextWords(part.column("text")).by_text()
+            toxic = part.column("label").to_numpy(zero_copy_only=False)[of] == 1
+            words, which = np.unique(word, return_inverse=True)
+            sums = [np.bincount(which, x, len(words)).astype(np.int64) for x in (times * ~toxic, times * toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, sums), pa.array(np.bincount(which, minlength=len(words)))],
+                                             ["word", "n0", "n1", "documents"])
 
 
-def _gathered(sums: DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray]:
-    """Tables of fixed sizes from the tasks' sums: blocks are added up on the executors, the results assembled here."""
-    out = {name: np.zeros((2, size), np.float32) for name, size in sizes.items()}
-    for row in sums.groupBy("name", "class", "block").applyInArrow(_added, SUMS).toLocalIterator():
-        x = np.frombuffer(row["sums"], np.float32)
-        out[row["name"]][row["class"]][row["block"] * BLOCK:row["block"] * BLOCK + len(x)] = x
-    return out
+def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each row; a row without words has one row with none."""
+    for batch in batches:
+        for part in hashing.slices(batch, "text"):
+            text = TextWords(part.column("text"))
+            of, word, times = text.by_text()
+            none = np.flatnonzero(text.size == 0)
+            of, times = np.concatenate([of, none]), np.concatenate([times, np.zeros(len(none), np.int64)])
+            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(of)), pa.array(np.concatenate([word, none * 0])),
+                                              pa.array(times), pa.array(text.size[of])], ["row", "word", "times", "size"])
 
 
 class Judge:
-    """The models and the curve: ``score = sigmoid(offset + slope * evidence)``."""
+    """``words``: (word, ratio) of the words that differ from ``rest``, the ratio of all others; and the curve."""
+
+    def __init__(self, words: DataFrame | None, rest: float, offset: float, slope: float):
+        self.words, self.rest, self.offset, self.slope = words, rest, offset, slope
+
+    def score(self, evidence: Column) -> Column:
+        return F.lit(1.0) / (1 + F.exp(-(F.lit(self.offset) + self.slope * evidence)))
+
 
-    def __init__(self, models: Models, offset: float, slope: float):
-        self.models, self.offset, self.slope = models, offset, slope
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n0, n1, documents): occurrences in each class and documents of both, over rows of (text, label)."""
+    counts = rows.select("text", "label").mapInArrow(_class_counts, "word long, n0 long, n1 long, documents long")
+    return counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "documents")])
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        evidence = self.models.evidence(Written(column))
-        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * evidence, -30, 30)))
 
+def evidence_of(ratios: Column, words: Column) -> Column:
+    """Log of the mean ratio over a text's words and the prior words, from the sum of its words' ratios."""
+    return F.log((ratios + PRIOR_WORDS) / (words + PRIOR_WORDS))
 
-def fitted_curve(counts: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Offset and slope of the logistic curve through ``counts[label, bin]`` of evidence (Newton, lightly regularised)."""
-    total = counts.sum(1)
-    if total.min() == 0:
-        share = total[1] / total.sum() if total.sum() else 0.5
-        return float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), 0.0
-    x = (np.arange(EVIDENCE_BINS) + 0.5) / EVIDENCE_BINS * 2 * EVIDENCE_RANGE - EVIDENCE_RANGE
-    both, beta = counts.sum(0), np.array([np.log(total[1] / total[0]), 1.0])
-    design = np.stack([np.ones_like(x), x], 1)
+
+def learned(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: Column | None = None,
+            doc_id: str = "doc_id", text_col: str = "text") -> Judge:
+    """Count over the labelled rows that ``learn`` lets through, then fit the curve to at most ``CURVE_ROWS`` of them."""
+    rows = with_labels(documents, labels, label_col, learn, None, doc_id, text_col)
+    counts = written(word_counts(rows), "toxic-words")
+    total = counts.agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "documents")], F.count("*").alias("distinct"),
+                       *[F.sum(F.least(f"n{c}", F.lit(DISCOUNT))).alias(f"mass{c}") for c in (0, 1)]).first()
+    sample = (with_labels(documents, labels, label_col, learn, CURVE_ROWS, doc_id, text_col)
+              .select(F.monotonically_increasing_id().alias("row"), "label", "text"))
+    sample = written(sample, "toxic-curve")
+    if not total["n0"] or not total["n1"]:
+        share = sample.agg(F.avg("label")).first()[0]
+        share = min(max(0.5 if share is None else share, 1e-9), 1 - 1e-9)
+        return Judge(None, 1.0, float(np.log(share / (1 - share))), 0.0)
+
+    def ratio(n0: Column, n1: Column, seen: Column, size0=F.lit(0), size1=F.lit(0)) -> Column:
+        shared = (seen + 1) / F.lit(float(total["documents"] + total["distinct"] + 1))
+        p = [(F.greatest(n - DISCOUNT, F.lit(0.0)) + float(total[f"mass{c}"]) * shared) / F.greatest(F.lit(float(total[f"n{c}"])) - size, F.lit(1.0))
+             for c, n, size in ((0, n0, size0), (1, n1, size1))]
+        return p[1] / p[0]
+
+    rest = total["mass1"] * total["n0"] / (total["mass0"] * total["n1"])
+    # Each sampled row by the counts without its own.
+    own = [F.when(F.col("label") == c, F.col("times")).otherwise(0) for c in (0, 1)]
+    length = [F.when(F.col("label") == c, F.col("size")).otherwise(0) for c in (0, 1)]
+    pairs = sample.select("row", "text").mapInArrow(_row_words, "row long, word long, times long, size long").join(sample.select("row", "label"), "row")
+    judged = pairs.join(counts, "word", "left").select(
+        "row", "label", "size", (F.col("times") * F.when(F.col("times") > 0, ratio(
+            F.col("n0") - own[0], F.col("n1") - own[1], F.col("documents") - 1, *length)).otherwise(0.0)).alias("ratio"))
+    fit = judged.groupBy("row", "label", "size").agg(F.sum("ratio").alias("ratio")).select("label", evidence_of(F.col("ratio"), F.col("size")).alias("x"))
+    fit = fit.toPandas()
+    offset, slope = fitted_curve(fit["x"].to_numpy(), fit["label"].to_numpy())
+    words = counts.where((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)).select(
+        "word", ratio(F.col("n0"), F.col("n1"), F.col("documents")).alias("ratio"))
+    return Judge(written(words, "toxic-ratios"), float(rest), offset, slope)
+
+
+def fitted_curve(x: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Offset and slope of the logistic curve through the rows (Newton, lightly regularised)."""
+    order = np.lexsort((label, x))   # the same sums however the rows arrive
+    x, label = x[order], label[order].astype(np.float64)
+    if len(label) == 0 or label.min() == label.max():
+        share = float(np.clip(label.mean() if len(label) else 0.5, 1e-9, 1 - 1e-9))
+        return float(np.log(share / (1 - share))), 0.0
+    beta, design = np.array([np.log(label.mean() / (1 - label.mean())), 1.0]), np.stack([np.ones_like(x), x], 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (counts[1] - both * p) - 1e-3 * beta
-        curve = (design * (both * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        slope = design.T @ (label - p) - 1e-3 * beta
+        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(curve, slope)
         beta = beta + step * min(1, 10 / max(np.abs(step).max(), 1e-12))
     return float(beta[0]), float(beta[1])
 
 
-def learned(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: Column | None = None,
-            doc_id: str = "doc_id", text_col: str = "text") -> Judge:
-    """Count over the labelled rows that ``learn`` lets through, then fit the curve to all of them."""
-    spark = documents.sparkSession
-    rows = written(with_labels(documents, labels, label_col, learn, None, doc_id, text_col).drop("labelled_id"), "toxic-labelled")
-
-    def gram_counts(batches):
-        grams = np.zeros((2, CONTEXTS * SYMBOLS), np.float32)
-        for batch in batches:
-            for part in hashing.slices(batch, "text"):
-                text, label = Written(part.column("text")), part.column("label").to_numpy(zero_copy_only=False)
-                for c in (0, 1):
-                    np.add.at(grams[c], text.row * SYMBOLS + text.next, text.times(label == c)[text.word].astype(np.float32))
-        yield from _emitted({"grams": grams})
-
-    grams = _gathered(rows.mapInArrow(gram_counts, SUMS), {"grams": CONTEXTS * SYMBOLS})["grams"]
-    shared_grams = spark.sparkContext.broadcast(packed(grams))
-
-    def context_counts(batches):
-        (grams,), contexts = unpacked(shared_grams.value), np.zeros((2, PAIRS * SYMBOLS))
-        for batch in batches:
-            for part in hashing.slices(batch, "text"):
-                text, label = Written(part.column("text")), part.column("label").to_numpy(zero_copy_only=False)
-                for c in (0, 1):
-                    share = text.times(label == c)[text.word] / np.maximum(grams[c][text.row * SYMBOLS + text.next], 1)
-                    contexts[c] += np.bincount(text.pair * SYMBOLS + text.next, share, PAIRS * SYMBOLS)
-        yield from _emitted({"contexts": contexts})
-
-    contexts = _gathered(rows.mapInArrow(context_counts, SUMS), {"contexts": PAIRS * SYMBOLS})["contexts"]
-    shared_grams.destroy()
-    shared_models = spark.sparkContext.broadcast(packed(grams, contexts))
-
-    def evidence_counts(batches):
-        models, counts = Models(*unpacked(shared_models.value)), np.zeros((2, EVIDENCE_BINS))
-        for batch in batches:
-            for part in hashing.slices(batch, "text"):
-                label = part.column("label").to_numpy(zero_copy_only=False)
-                np.add.at(counts, (label, evidence_bin(models.evidence_without_own(part.column("text"), label))), 1)
-        yield from _emitted({"evidence": counts})
-
-    counts = _gathered(rows.mapInArrow(evidence_counts, SUMS), {"evidence": EVIDENCE_BINS})["evidence"]
-    shared_models.destroy()
-    return Judge(Models(grams, contexts), *fitted_curve(counts.astype(np.float64)))
-
-
-def evidence_bin(x: np.ndarray) -> np.ndarray:
-    return np.clip((x + EVIDENCE_RANGE) / (2 * EVIDENCE_RANGE) * EVIDENCE_BINS, 0, EVIDENCE_BINS - 1).astype(np.int64)
-
-
-def scorer(spark: SparkSession, judge: Judge):
-    """A column function: text to its score; the broadcast models have the size their bits give, whatever the data."""
-    m = judge.models
-    shared, offset, slope = spark.sparkContext.broadcast(packed(m.grams, m.contexts)), judge.offset, judge.slope
+def _evidence_udf(judge: Judge):
+    """A column function, text to evidence, over the broadcast models."""
+    table = judge.words.toArrow()
+    order = np.argsort(words := table.column("word").to_numpy())
+    spark = judge.words.sparkSession
+    shared, rest = spark.sparkContext.broadcast((words[order], table.column("ratio").to_numpy()[order])), judge.rest
 
     @F.arrow_udf(T.DoubleType())
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        task = Judge(Models(*unpacked(shared.value)), offset, slope)
+    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, ratios = shared.value
         for texts in batches:
-            whole = pa.RecordBatch.from_arrays([texts], ["text"])
-            parts = [task.scores(part.column("text")) for part in hashing.slices(whole, "text")]
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            whole, out = pa.RecordBatch.from_arrays([texts], ["text"]), []
+            for part in hashing.slices(whole, "text"):
+                text = TextWords(part.column("text"))
+                of, word, times = text.by_text()
+                at = np.minimum(np.searchsorted(words, word), max(0, len(words) - 1))
+                found = np.where(words[at] == word, ratios[at], rest) if len(words) else np.full(len(word), rest)
+                total = np.bincount(of, times * found, len(text.size))
+                out.append(np.log((total + PRIOR_WORDS) / (text.size + PRIOR_WORDS)))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    return score
+    return evidence
 
 
-def score_texts(df: DataFrame, judge: Judge, text_col: str = "text", out: str = "toxicity_score") -> DataFrame:
+def score_texts(df: DataFrame, judge: Judge, text_col: str = "text", out: str = "toxicity_score", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """``df`` with the score of each text in ``out``."""
-    return df.withColumn(out, scorer(df.sparkSession, judge)(F.col(text_col)))
+    if judge.words is None:
+        return df.withColumn(out, judge.score(F.lit(0.0)))
+    if judge.words.count() <= broadcast_words:
+        return df.withColumn(out, judge.score(_evidence_udf(judge)(F.col(text_col))))
+    keyed = written(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("input"), F.col(text_col).alias("text"),
+                              F.monotonically_increasing_id().alias("row")), "toxic-texts")
+    pairs = keyed.select("row", "text").mapInArrow(_row_words, "row long, word long, times long, size long")
+    ratios = pairs.join(judge.words, "word", "left").groupBy("row", "size").agg(
+        F.sum(F.col("times") * F.coalesce("ratio", F.lit(judge.rest))).alias("ratio"))
+    scored = keyed.join(ratios, "row").select("input", judge.score(evidence_of(F.col("ratio"), F.col("size"))).alias("score"))
+    kept = [F.col("input")[c].alias(c) for c in df.columns if c != out]
+    return scored.select(*kept, F.col("score").alias(out))
