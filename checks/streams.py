@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.runs import HOURS_72, LATEST, ORACLE as RUNS_SQL, SEQ
 from checks.views import VIEWS, view, with_views
 from funnelscope.session import work_dir
-from funnelscope.streaming import late, merged, state
+from funnelscope.streaming import late, merged, ordered, state
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,6 +44,32 @@ def _(spark, sf):
     return landed(spark, numbered, "sequence").select("audit_id", "event_id", "seq", "t")
 
 
+def in_order(spark, df, name, **held):
+    """Rows that an ordered stream has let go by the end of its input, and those it still holds."""
+    folder, (key, value) = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}", ordered.ROCKSDB
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        df.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(
+            availableNow=True).format("parquet").start(f"{folder}/rows").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows"), ordered.waiting(spark, f"{folder}/progress", **held)
+
+
+@query("stream_event_order", f"with {SEQ} select audit_id, event_id, seq, t from sq", ("fx_events",))
+def _(spark, sf):
+    left, held = in_order(spark, ordered.numbered(stream(spark, sf, "fx_events")), "order")
+    return ordered.closed(left, held).select("audit_id", "event_id", "seq", "t")
+
+
+@query("stream_failure_rate", RUNS_SQL["failure_rate_window"])
+def _(spark, sf):
+    counts = ordered.failure_counts(stream(spark, sf, "fx_attempts"), HOURS_72)
+    left, held = in_order(spark, counts, "failure-rate", key="client", fields=ordered.FailureCounts.FIELDS)
+    return ordered.closed_counts(left, held, HOURS_72).select("client", "event_id", "ok", "recent_failures")
+
+
 @query("stream_layer_state", f"with {LATEST} select audit_id, layer, status from ls", ("fx_events",))
 def _(spark, sf):
     folder = f"{work_dir(spark)}/layer-state-{uuid.uuid4().hex}"
