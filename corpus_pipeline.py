@@ -14,34 +14,42 @@ from funnelscope.llm.store import written
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 LEAST_QUALITY = 0.3
+SALTS = 32
+
+
+def beside(docs: DataFrame) -> DataFrame:
+    """The input row as one column ``row``, so that no name of a stage meets one of the input; ``id`` and ``text`` beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the factorisation machine does not reject; it learns from the labelled documents among ``docs``."""
     machine = quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_texts(docs, machine, out="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    return quality.score_texts(beside(docs), machine, out="score").where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Texts that share an id are documents of their own.
 
-    Repeated rows stay once, and a blank text goes where its id still has a real one.
+    Repeated rows stay once, and a blank text goes where its id still has a real one. A group of any size meets its first document in
+    ``SALTS`` parts.
     """
-    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
-    judged = near_dup.near_duplicates(keyed, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    judged = written(judged.where("_key is not null").join(keyed.select("_key", "doc_id").distinct(), "_key"), "judged")
-    first = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count("*").alias("members"))
-    gone = judged.join(first.where("members > 1"), "component_id").where("_key <> first._key").select("_key").distinct()
-    rest = keyed.join(written(gone, "near-copies"), "_key", "left_anti")
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    known = (rest.where("doc_id is not null").withColumn("_blank", blank)
-             .groupBy("doc_id", "_blank", F.when(~F.col("_blank"), F.col("_key")).alias("_key")).agg(F.min(row).alias("row")))
+    keyed = beside(docs).withColumn("key", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")))
+    judged = near_dup.near_duplicates(keyed.select("key", "text"), doc_id="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    judged = written(judged.where("key is not null").join(keyed.select("key", "id").distinct(), "key"), "judged")
+    first = judged.groupBy("component_id").agg(F.min(F.struct("id", "key"))["key"].alias("first"), F.count("*").alias("members"))
+    first = first.where("members > 1").select("component_id", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = judged.select("key", "component_id", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
+    gone = salted.join(first, ["component_id", "salt"]).where("key <> first").select("key").distinct()
+    rest = keyed.join(written(gone, "near-copies"), "key", "left_anti")
+    rest = rest.withColumn("blank", ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    maps = "map<" in keyed.schema["row"].dataType.simpleString()   # maps have no order, their JSON has
+    smallest = F.min_by("row", F.to_json("row")) if maps else F.min("row")
+    known = (rest.where("id is not null").groupBy("id", "blank", F.when(~F.col("blank"), F.col("key")).alias("key")).agg(smallest.alias("row")))
     known = written(known, "single")
-    both = known.groupBy("doc_id").agg(F.min("_blank").alias("least"), F.max("_blank").alias("_blank")).where("_blank and not least")
-    known = known.join(both.select("doc_id", "_blank"), ["doc_id", "_blank"], "left_anti").select("row.*")
-    return known.unionByName(rest.where("doc_id is null").select(*docs.columns))
+    both = known.groupBy("id").agg(F.min("blank").alias("least"), F.max("blank").alias("blank")).where("blank and not least")
+    known = known.join(both.select("id", "blank"), ["id", "blank"], "left_anti").select("row.*")
+    return known.unionByName(rest.where("id is null").select("row.*"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
