@@ -86,3 +86,15 @@ def test_empty(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf_dir), "test-empty")
     assert docs.count() == 0
+
+
+def test_clashing_names_and_maps(spark, sf_dir):
+    """Columns named like the stages' own, and one that has no order, come through the first two stages as they are."""
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs.selectExpr("*", "'q' as score", "'k' as key", "'r' as row", "'i' as id", "'b' as blank", "1 as component_id", "map('a', doc_id) as _quality")
+    for stage in (corpus_pipeline.quality_filter, corpus_pipeline.near_dedup):
+        plain, got = stage(spark, docs, sf_dir), stage(spark, more, sf_dir)
+        assert got.columns == more.columns
+        assert got.where("score = 'q' and key = 'k' and row = 'r' and id = 'i' and blank = 'b' and component_id = 1").count() == plain.count()
+        assert sorted(r[0] for r in got.selectExpr("_quality['a']").collect()) == sorted(r[0] for r in plain.select("doc_id").collect())
