@@ -41,8 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = first.where("members > 1").select("component_id", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = judged.select("key", "component_id", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
     gone = salted.join(first, ["component_id", "salt"]).where("key <> first").select("key").distinct()
-    rest = keyed.join(written(gone, "near-copies"), "key", "left_anti")
-    rest = rest.withColumn("blank", ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    # the text is in the row; a second copy would be shuffled with it
+    told = keyed.withColumn("blank", ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop("text")
+    rest = told.join(written(gone, "near-copies"), "key", "left_anti")
     maps = "map<" in keyed.schema["row"].dataType.simpleString()   # maps have no order, their JSON has
     smallest = F.min_by("row", F.to_json("row")) if maps else F.min("row")
     known = (rest.where("id is not null").groupBy("id", "blank", F.when(~F.col("blank"), F.col("key")).alias("key")).agg(smallest.alias("row")))
