@@ -74,3 +74,20 @@ def test_failures_before_each_attempt(spark, tmp_path, rocksdb):
     got = sorted(tuple(r) for r in ordered.closed_counts(left, held, 600).select(*names).collect())
     assert got == expected and max(r[3] for r in got) > 5
     assert set(tuple(r) for r in left.select(*names).collect()) <= set(expected)
+
+
+def test_keys_share_their_state(spark, tmp_path, rocksdb, monkeypatch):
+    """Calls to the state store grow with groups: not an element a row, nor a list a key. Counts keep the keys of a group apart."""
+    monkeypatch.setattr(ordered, "GROUPS", 2, raising=False)
+    draw = random.Random(11)
+    schema = "client long, event_id long, ts timestamp, ok boolean"
+    rows = [(draw.randrange(40), i, START + dt.timedelta(seconds=10 * draw.randrange(0, 300)), draw.choice([True, False, False, None])) for i in range(600)]
+    rows += rows[:5]
+    rows.sort(key=lambda r: r[2])
+    left, held = run(spark, tmp_path, [rows[:200], rows[200:400], rows[400:]], lambda a: ordered.failure_counts(a, 900, "25 minutes"), schema,
+                     key="client", fields=ordered.FailureCounts.FIELDS)
+    elements = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/progress").count()
+    assert 0 < elements <= 2 * 3 < held.count() and left.count() > 200
+    names = ["client", "event_id", "ok", "recent_failures"]
+    in_full = lambda df: sorted((tuple(r) for r in df.select(*names).collect()), key=str)
+    assert in_full(ordered.closed_counts(left, held, 900)) == in_full(failure_rate_window(spark.createDataFrame(rows, schema), 900))
