@@ -30,14 +30,25 @@ ROWS_AT_ONCE = 256
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def ranks_of(rank_file: bytes) -> dict[bytes, int]:
+    """Token to rank, from the ``base64 rank`` lines of a tiktoken file."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, rank_file.splitlines()))}
+
+
+def tokens_of(rank_file: bytes) -> list[bytes]:
+    """The token of each rank; all that decoding needs."""
+    ranks = ranks_of(rank_file)
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
 class Vocabulary:
-    """The ranks of a tiktoken file: one ``base64 rank`` line per token."""
+    """The ranks of a tiktoken file and the pairs that merge into them."""
 
     def __init__(self, rank_file: bytes):
-        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, rank_file.splitlines()))}
-        self.tokens = [b""] * (max(self.rank.values(), default=-1) + 1)
-        for token, rank in self.rank.items():
-            self.tokens[rank] = token
+        self.rank = ranks_of(rank_file)
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in self.rank.items():
@@ -196,6 +207,13 @@ def _rank_file(path: str) -> bytes:
         return f.read()
 
 
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches of at most ROWS_AT_ONCE rows, so that no result of a whole batch of Spark's is held, neither here nor by the JVM."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def encoder(spark: SparkSession, rank_file: str, pattern: str):
     """A column function: text to ids, packed as little-endian unsigned 32-bit integers.
 
@@ -206,11 +224,8 @@ def encoder(spark: SparkSession, rank_file: str, pattern: str):
     @F.arrow_udf(T.BinaryType())
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         task = Encoder(Vocabulary(shared.value), pattern)
-        for texts in batches:
-            out = []
-            for start in range(0, len(texts), ROWS_AT_ONCE):
-                out += task.encode(texts.slice(start, ROWS_AT_ONCE).to_pylist())
-            yield pa.array(out, pa.binary())
+        for part in _parts(batches):
+            yield pa.array(task.encode(part.to_pylist()), pa.binary())
 
     return encode
 
@@ -221,10 +236,10 @@ def decoder(spark: SparkSession, rank_file: str):
 
     @F.arrow_udf(T.BinaryType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = Vocabulary(shared.value).tokens
-        for packed in batches:
+        tokens = tokens_of(shared.value)
+        for part in _parts(batches):
             yield pa.array([None if ids is None else b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                            for ids in (x.as_py() for x in packed)], pa.binary())
+                            for ids in (x.as_py() for x in part)], pa.binary())
 
     return decode
 

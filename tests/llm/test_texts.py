@@ -7,9 +7,10 @@ import struct
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from funnelscope.llm import queries
+from funnelscope.llm import bpe, queries
 
 
 def luhn(digits):
@@ -67,3 +68,14 @@ def test_mixing(spark, sf_dir):
     df = queries.op8_mixing(spark, sf_dir)
     assert sorted(df.columns) == sorted(columns)
     assert sorted(str(tuple(r[x] for x in columns)) for r in df.collect()) == sorted(map(str, result.fetchall()))
+
+
+def test_bpe_gives_its_results_in_parts(spark, monkeypatch):
+    """Of a batch of Spark's, however many rows it has, ids and bytes leave in small parts; decoding needs no pairs."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = [f"text {i} of\nmany" if i % 5 else None for i in range(bpe.ROWS_AT_ONCE * 2 + 9)]
+    encoded = list(bpe.encoder(spark, path, public_tokenizers.PATTERN).func(iter([pa.array(texts, pa.string())])))
+    monkeypatch.setattr(bpe, "Vocabulary", None)
+    decoded = list(bpe.decoder(spark, path).func(iter([pa.concat_arrays(encoded)])))
+    assert [len(x) for x in encoded] == [len(x) for x in decoded] == [bpe.ROWS_AT_ONCE, bpe.ROWS_AT_ONCE, 9]
+    assert pa.concat_arrays(decoded).to_pylist() == [(t or "").encode() for t in texts]
