@@ -64,10 +64,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text as little-endian unsigned 32-bit integers, with their number and a digest of what they decode to."""
+    """Token ids of every text as little-endian unsigned 32-bit integers, with their number and a digest of what they decode to.
+
+    The ids are written in between: in one plan a task would hold a Python worker for each of the two, and the idle ones stay for
+    the stages that follow.
+    """
     path = public_tokenizers.path(RANK_FILE)
-    encoded = bpe.encode_texts(docs, path, public_tokenizers.PATTERN)
-    decoded = bpe.decode_ids(encoded, path)
+    encoded = bpe.encode_texts(docs, path, public_tokenizers.PATTERN).select("doc_id", "lang", "source", "token_ids")
+    decoded = bpe.decode_ids(written(encoded, "token-ids"), path)
     return decoded.select("doc_id", "lang", "source", "token_ids", bpe.n_ids(F.col("token_ids")).alias("n_tokens"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -38,6 +38,7 @@ FIRST_ROUNDS = ((0, 1), (2, 3, 4, 5))
 EDGE_ROWS = 4
 SKETCH_BITS = 20      # counters that order the shingles of dense regions; any order gives the same pairs
 CHUNK_ENTRIES = 512   # indexed rows of one shingle under one salt
+SLICE_BYTES = 1 << 19   # text whose shingles a task holds at once
 SEEDS = np.random.default_rng(20240).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 SETS = "id long, n_shingles long, set_a long, set_b long, minima binary"
 FOUND = "a long, b long, tree int, key binary, tie long, id long, n long, component long"
@@ -74,7 +75,7 @@ def signed(x: np.ndarray) -> pa.Array:
 def _sets(k: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in hashing.slices(batch, "text"):
+            for part in hashing.slices(batch, "text", SLICE_BYTES):
                 first, values = shingles(part.column("text"), k)
                 some = np.flatnonzero(np.diff(first))
                 begin = first[some]
@@ -186,7 +187,7 @@ def _counters(texts: DataFrame, k: int) -> np.ndarray:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for part in hashing.slices(batch, "text"):
+            for part in hashing.slices(batch, "text", SLICE_BYTES):
                 count += np.bincount((shingles(part.column("text"), k)[1] >> shift).astype(np.int64), minlength=len(count))
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["bucket", "n"])
@@ -208,7 +209,7 @@ def _entries(texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            for part in hashing.slices(batch, "text"):
+            for part in hashing.slices(batch, "text", SLICE_BYTES):
                 first, values = shingles(part.column("text"), k)
                 size = np.diff(first)
                 doc = np.repeat(np.arange(part.num_rows), size)

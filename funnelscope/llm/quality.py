@@ -29,6 +29,7 @@ PLACES = (1 << WORD_BITS) + STATISTICS * BINS
 STATISTIC_WEIGHT = 0.35
 FACTORS = 8
 MOST_ROWS = 12_000
+SLICE_BYTES = 1 << 20   # text whose features a task holds at once
 LEAST_STEPS = 400    # of fitting: few labelled rows are gone over more often, so that scores leave the share of label 1
 # Byte classes: 0 other letters and spaces, 1 capitals, 2 digits, 3 sentence marks, 4 symbols, 5 line ends, 6 non-ASCII, 7 table bars.
 CLASS = np.zeros(256, np.int64)
@@ -128,7 +129,7 @@ def fit(first: np.ndarray, places: np.ndarray, values: np.ndarray, labels: np.nd
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in hashing.slices(batch, "text"):
+        for part in hashing.slices(batch, "text", SLICE_BYTES):
             first, places, values = features(part.column("text"))
             cut = lambda x: [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(cut(places.astype(np.int32)), pa.binary()),
@@ -161,7 +162,7 @@ def scorer(spark: SparkSession, machine: Machine):
         task = Machine(*shared.value)
         for texts in batches:
             whole = pa.RecordBatch.from_arrays([texts], ["text"])
-            parts = [task.scores(part.column("text")) for part in hashing.slices(whole, "text")]
+            parts = [task.scores(part.column("text")) for part in hashing.slices(whole, "text", SLICE_BYTES)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score

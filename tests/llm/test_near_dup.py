@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from funnelscope.llm import near_dup, queries
@@ -104,6 +106,20 @@ def test_odd_rows(spark):
                      None: (1, None, True), 7: (1, 7, True), 8: (1, 8, True), 9: (1, 8, False)}
 
 
+def test_a_batch_is_gone_through_in_parts():
+    texts = [" ".join(f"w{(i * 7919 + j) % 100_003}" for j in range(700)) for i in range(1_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    assert batch.nbytes > 4_000_000
+    tracemalloc.start()
+    try:
+        rows = sum(part.num_rows for part in near_dup._sets(5)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts)
+    assert peak < 40e6   # 4 MB at once took 54 MB
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

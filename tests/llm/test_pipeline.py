@@ -1,8 +1,10 @@
 """The pipeline's stages against plain versions of what each must do."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -53,6 +55,24 @@ def test_stages(spark, steps, sf_dir):
         assert len(r["token_ids"]) == 4 * r["n_tokens"]
 
 
+def test_encode_takes_one_worker_a_task(spark, steps, sf_dir, capsys):
+    corpus_pipeline.encode(spark, steps[-2], sf_dir).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1   # two in one plan are two Python workers for each core
+
+
+def test_quality_takes_a_batch_in_parts():
+    texts = [" ".join(f"w{(i * 7919 + j) % 100_003}" for j in range(700)) for i in range(1_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(texts)), pa.array(texts)], ["label", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(part.num_rows for part in quality._features_of(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts)
+    assert peak < 55e6   # 4 MB at once took 67 MB
+
+
 def test_quality_stage_rejects_what_is_bad(spark, larger_dir):
     documents, labels = (spark.read.parquet(f"{larger_dir}/{t}.parquet") for t in ("documents", "labels"))
     good = written(corpus_pipeline.quality_filter(spark, documents, larger_dir), "test-quality")
